@@ -10,10 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import decontam, mixing, simhash
+from keelson.llm import decontam, langid, mixing, pii, simhash
 from keelson.llm.common import table, written
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language is less likely than not, go."""
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: that of the smallest doc_id."""
     return simhash.one_of_each(docs)
@@ -24,12 +29,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to the name of its kind; every document stays."""
+    return pii.redact(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document left, its sources weighing 3, 1, 2 in turn."""
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-STAGES = [("near_dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix_sources)]
+STAGES = [("language_id", identify_language), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("pii", redact_personal_data), ("mixing", mix_sources)]
 
 #: Fingerprint components and dependent draws are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None

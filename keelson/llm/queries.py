@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import decontam, mixing, simhash
+from keelson.llm import decontam, langid, mixing, pii, simhash
 from keelson.llm.common import table
 
 
@@ -23,11 +23,21 @@ def op3_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a model of four folds of five; nulls and empties as in ``langid.identify``."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document; nulls and empties as in ``decontam.contamination``."""
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pivotal_mix, op3_simhash_near_dup, op9_suffix_decontam)}
+def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; nulls and empties as in ``pii.personal_data``."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pivotal_mix, op3_simhash_near_dup, op7_language_id, op9_suffix_decontam, op10_contextual_pii)}
 
 ORACLES: dict[str, str] = {}
