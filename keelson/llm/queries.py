@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import decontam, langid, mixing, pii, simhash
-from keelson.llm.common import table
+from keelson.llm import decontam, langid, mixing, ngram, pii, simhash
+from keelson.llm.common import fold_of, table
 
 
 def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op3_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram scores of every document by a trie of six folds of seven; nulls and empties as in ``ngram.score``."""
+    docs = table(spark, sf_dir, "documents")
+    return ngram.score(docs, ngram.train(docs.where(fold_of("doc_id", 7) != 2)))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by a model of four folds of five; nulls and empties as in ``langid.identify``."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -38,6 +44,6 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pivotal_mix, op3_simhash_near_dup, op7_language_id, op9_suffix_decontam, op10_contextual_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pivotal_mix, op3_simhash_near_dup, op5_elias_fano_lm, op7_language_id, op9_suffix_decontam, op10_contextual_pii)}
 
 ORACLES: dict[str, str] = {}
