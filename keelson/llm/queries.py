@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import decontam, langid, mixing, ngram, pii, simhash
+from keelson.llm import decontam, langid, mixing, ngram, pii, quality, simhash
 from keelson.llm.common import fold_of, table
 
 
+def op1_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by votes of labelled neighbours; nulls and empties as in ``quality.classify``."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, their sources mixed to weights 3, 1, 2 in turn; nulls and empties as in ``mixing.mix``."""
     m = mixing.mix(table(spark, sf_dir, "documents"))
@@ -44,6 +49,6 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pivotal_mix, op3_simhash_near_dup, op5_elias_fano_lm, op7_language_id, op9_suffix_decontam, op10_contextual_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_neighbours, op2_pivotal_mix, op3_simhash_near_dup, op5_elias_fano_lm, op7_language_id, op9_suffix_decontam, op10_contextual_pii)}
 
 ORACLES: dict[str, str] = {}
