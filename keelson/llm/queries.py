@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import decontam, langid, mixing, ngram, pii, quality, simhash
+from keelson.llm import decontam, langid, mixing, ngram, paragraphs, pii, quality, simhash
 from keelson.llm.common import fold_of, table
 
 
@@ -39,6 +39,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 20 words or more that several documents have, with its class; nulls and empties as in ``paragraphs.repeats``."""
+    return paragraphs.repeats(table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op9_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document; nulls and empties as in ``decontam.contamination``."""
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -49,6 +54,6 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_neighbours, op2_pivotal_mix, op3_simhash_near_dup, op5_elias_fano_lm, op7_language_id, op9_suffix_decontam, op10_contextual_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_neighbours, op2_pivotal_mix, op3_simhash_near_dup, op5_elias_fano_lm, op7_language_id, op8_paragraph_banding, op9_suffix_decontam, op10_contextual_pii)}
 
 ORACLES: dict[str, str] = {}
