@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import decontam, langid, mixing, ngram, paragraphs, pii, quality, simhash
+from keelson.llm import decontam, langid, media, mixing, ngram, paragraphs, pii, quality, simhash, warc
 from keelson.llm.common import fold_of, table
 
 
@@ -28,12 +28,22 @@ def op3_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an image, stored in archives and read back; nulls and empties as in ``media.media_columns``."""
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op5_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bigram scores of every document by a trie of six folds of seven; nulls and empties as in ``ngram.score``."""
     docs = table(spark, sf_dir, "documents")
     return ngram.score(docs, ngram.train(docs.where(fold_of("doc_id", 7) != 2)))
 
 
+def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records in two replicas, one of which decays in every 97th page, audited; nulls as in ``warc.fixity_drill``."""
+    return warc.fixity_drill(table(spark, sf_dir, "pages"), F.coalesce(F.col("page_id") % 97 == 5, F.lit(False)))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by a model of four folds of five; nulls and empties as in ``langid.identify``."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -54,6 +64,12 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_neighbours, op2_pivotal_mix, op3_simhash_near_dup, op5_elias_fano_lm, op7_language_id, op8_paragraph_banding, op9_suffix_decontam, op10_contextual_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_neighbours, op2_pivotal_mix, op3_simhash_near_dup, op4_media_archives, op5_elias_fano_lm, op6_merkle_fixity, op7_language_id, op8_paragraph_banding, op9_suffix_decontam, op10_contextual_pii)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_merkle_fixity": """
+        SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n_bytes, sha256(coalesce(html, '')) AS block_sha256,
+               true AS intact, coalesce(page_id % 97 = 5, false) AS differs
+        FROM pages
+    """,
+}
