@@ -206,8 +206,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block:
     numbers the rows of ``docs``; rows alike in all columns are copies of each
     other.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.explode(_units_of(F.coalesce(F.col(text), F.lit("")))).alias("u")).select("doc_id", "rid", "u.*")
-    held = written(rows, "passages")
+    # rows are numbered before they are exploded, or the numbers would be of passages
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), _units_of(F.coalesce(F.col(text), F.lit(""))).alias("us"))
+    held = written(rows.select("doc_id", "rid", F.explode("us").alias("u")).select("doc_id", "rid", "u.*"), "passages")
     lines = held.where("paragraph is not null")
     roots = components(paragraph_links(lines, block), "a", "b")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "line", "first")
