@@ -60,8 +60,12 @@ class Model:
     word: dict[str, int]
     gram: list[dict[str, int]]
     logs: np.ndarray
+    #: rows of words backed off before
     seen: dict[str, int] = field(default_factory=dict)
-    kept: list[np.ndarray] = field(default_factory=list)
+    kept: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.kept = np.empty((0, len(self.langs)), np.float32)
 
     def row(self, word: str) -> np.ndarray:
         """Log frequencies by language of a word: its own, or those of its longest known n-grams."""
@@ -76,24 +80,22 @@ class Model:
 
     def rows(self, words: list[str]) -> np.ndarray:
         """As ``row``, for many words; those backed off are kept, up to CACHE of them."""
-        seen = self.seen
-        if len(seen) > CACHE:
-            seen.clear()
-            self.kept.clear()
-        at = np.fromiter((self.word.get(w, -1) for w in words), np.int64, len(words))
+        if len(self.seen) > CACHE:
+            self.seen.clear()
+        base, seen, get = len(self.logs), self.seen, self.word.get
+        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        for i in np.flatnonzero(at < 0).tolist():
+            k = seen.get(words[i])
+            if k is None:
+                k = seen[words[i]] = len(seen)
+                if k >= len(self.kept):
+                    self.kept = np.concatenate((self.kept, np.empty((max(1024, len(self.kept)), len(self.langs)), np.float32)))
+                self.kept[k] = self.row(words[i])
+            at[i] = base + k
         out = np.empty((len(words), len(self.langs)), np.float32)
-        known = at >= 0
+        known = at < base
         out[known] = self.logs[at[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            where = np.empty(len(new), np.int64)
-            for j, i in enumerate(new.tolist()):
-                k = seen.get(words[i])
-                if k is None:
-                    k = seen[words[i]] = len(self.kept)
-                    self.kept.append(self.row(words[i]))
-                where[j] = k
-            out[new] = np.stack(self.kept)[where] if len(new) > len(self.kept) // 4 else np.stack([self.kept[k] for k in where.tolist()])
+        out[~known] = self.kept[at[~known] - base]
         return out
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:

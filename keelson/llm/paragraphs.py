@@ -30,92 +30,130 @@ BANDS, ROWS = 10, 3
 LEAST, PIECE, CUT = 20, 8, 12
 #: Paragraphs of a band compared in one piece; larger buckets are dealt out in pairs of blocks.
 BLOCK = 256
-#: Words whose hashes a task keeps.
-CACHE = 400_000
+#: Words whose hashes a task keeps, and keys of repeated passages up to which they are broadcast (16 bytes each).
+CACHE, BROADCAST = 400_000, 1_000_000
 
 _RNG = np.random.default_rng(5)
 _A = (_RNG.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
-_known: dict[bytes, int] = {}
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_known = _Hashes()
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
     if len(_known) > CACHE:
         _known.clear()
-    get, h = _known.get, xxhash.xxh64_intdigest
-    out = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        x = get(w)
-        if x is None:
-            x = _known[w] = h(w)
-        out[i] = x
-    return out
+    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
-def shingles(h: np.ndarray) -> np.ndarray:
-    """Hashes of five consecutive words each; of all words together, if there are fewer."""
-    n = max(1, len(h) - SHINGLE + 1)
+def _rolled(h: np.ndarray, width: int) -> np.ndarray:
+    n = max(1, len(h) - width + 1)
     out = np.zeros(n, np.uint64)
-    for k in range(min(SHINGLE, len(h))):
+    for k in range(min(width, len(h))):
         out = (out ^ h[k : k + n]) * _MIX[k]
         out ^= out >> np.uint64(29)
     return out
 
 
-def signature(h: np.ndarray) -> np.ndarray:
-    """One number for each band."""
-    s = shingles(h)
-    least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(s), 20_000):
-        x = s[at : at + 20_000, None] * _A + _B
-        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0), out=least)
-    rows = least.reshape(BANDS, ROWS)
-    out = np.arange(BANDS, dtype=np.uint64)
+def shingles(h: np.ndarray) -> np.ndarray:
+    """Hashes of five consecutive words each; of all words together, if there are fewer."""
+    return _rolled(h, SHINGLE)
+
+
+def signatures(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For paragraphs of ``sizes`` words each (SHINGLE at least), whose words' hashes come one after the other: a number a band."""
+    if not len(sizes):
+        return np.zeros((0, BANDS), np.int64)
+    ends = np.cumsum(sizes)
+    inside = np.ones(len(h), bool)
+    for k in range(1, SHINGLE):
+        inside[ends - k] = False  # these would run into the next paragraph
+    s = _rolled(np.concatenate((h, np.zeros(SHINGLE - 1, np.uint64))), SHINGLE)[inside]
+    starts = np.cumsum(sizes - SHINGLE + 1) - (sizes - SHINGLE + 1)
+    least = np.full((len(sizes), BANDS * ROWS), np.uint64(0xFFFFFFFFFFFFFFFF))
+    step, first = 16_384, 0
+    for at in range(0, len(s), step):
+        x = s[at : at + step, None] * _A + _B
+        x ^= x >> np.uint64(32)
+        last = int(np.searchsorted(starts, at + step))
+        cut_at = np.maximum(starts[first:last], at) - at
+        least[first:last] = np.minimum(least[first:last], np.minimum.reduceat(x, cut_at, axis=0))
+        first = last if last < len(starts) and starts[last] == at + step else last - 1
+    rows = least.reshape(-1, BANDS, ROWS)
+    out = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], len(sizes), axis=0)
     for k in range(ROWS):
-        out = (out ^ rows[:, k]) * _MIX[k]
+        out = (out ^ rows[:, :, k]) * _MIX[k]
         out ^= out >> np.uint64(31)
     return out.view(np.int64)
 
 
-def units(text: str) -> Iterator[tuple[int, int, int, bytes, str | None, np.ndarray | None]]:
-    """(line, first word, end word, key, paragraph, bands) of a text's long paragraphs, and of their pieces (without the last two)."""
-    for k, line in enumerate(text.split("\n")):
-        words = line.encode("utf-8", "surrogatepass").lower().split()
-        n = len(words)
-        if n < LEAST:
-            continue
-        h = _hashes(words)
-        yield k, 0, n, xxhash.xxh3_128_digest(b" ".join(words)), line, signature(h)
-        ends = np.flatnonzero((h[1:] ^ (h[:-1] * _MIX[0])) % np.uint64(CUT) == 0) + 2
-        last = 0
-        for e in [*ends.tolist(), n]:
-            if e - last >= PIECE:
-                yield k, last, e, xxhash.xxh3_128_digest(b" ".join(words[last:e]), 1), None, None
-                last = e
+def _key(words: list[bytes], seed: int) -> int:
+    h = xxhash.xxh3_64_intdigest(b" ".join(words), seed)
+    return h - (1 << 64) if h >> 63 else h
 
 
 _UNIT = T.ArrayType(
     T.StructType(
-        [T.StructField("line", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("key", T.BinaryType()), T.StructField("paragraph", T.StringType())]
+        [T.StructField("line", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("paragraph", T.StringType())]
         + [T.StructField(f"b{i}", T.LongType()) for i in range(BANDS)]
     )
 )
-_ARROW = pa.list_(pa.struct([("line", pa.int32()), ("first", pa.int32()), ("end", pa.int32()), ("key", pa.binary()), ("paragraph", pa.string())] + [(f"b{i}", pa.int64()) for i in range(BANDS)]))
+_ARROW = pa.list_(pa.struct([("line", pa.int32()), ("first", pa.int32()), ("end", pa.int32()), ("key", pa.int64()), ("paragraph", pa.string())] + [(f"b{i}", pa.int64()) for i in range(BANDS)]))
+
+
+def units(texts: list[str]) -> pa.Array:
+    """For each text its paragraphs of LEAST words or more, with bands, and after each one its pieces, without.
+
+    A piece ends after a word that, with the one before, has a hash of a
+    certain kind, once it has PIECE words; so the same passage is cut alike
+    wherever it lies, but for its ends.
+    """
+    lines, counts = [], []
+    for t in texts:
+        before = len(lines)
+        for k, line in enumerate(t.split("\n")):
+            words = line.encode("utf-8", "surrogatepass").lower().split()
+            if len(words) >= LEAST:
+                lines.append((k, line, words))
+        counts.append(len(lines) - before)
+    sizes = np.array([len(x[2]) for x in lines], np.int64)
+    h = _hashes([w for x in lines for w in x[2]])
+    bands = signatures(h, sizes)
+    ends_at = np.zeros(len(h), bool)
+    ends_at[1:] = (h[1:] ^ (h[:-1] * _MIX[0])) % np.uint64(CUT) == 0
+    cuts = np.flatnonzero(ends_at)
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    bounds = np.searchsorted(cuts, edges)
+    rows: list[tuple] = []
+    where, per_line = [], []
+    for i, (k, line, words) in enumerate(lines):
+        where.append(len(rows))
+        rows.append((k, 0, len(words), _key(words, 0), line))
+        last = 0
+        for e in (cuts[bounds[i] : bounds[i + 1]] - edges[i] + 1).tolist() + [len(words)]:
+            if e - last >= PIECE:
+                rows.append((k, last, e, _key(words[last:e], 1), None))
+                last = e
+        per_line.append(len(rows) - where[-1])
+    all_bands, whole = np.zeros((len(rows), BANDS), np.int64), np.zeros(len(rows), bool)
+    all_bands[where], whole[where] = bands, True
+    cols = [pa.array([r[i] for r in rows], t.type) for i, t in enumerate(list(_ARROW.value_type)[:5])]
+    cols += [pa.array(all_bands[:, i], mask=~whole) for i in range(BANDS)]
+    ends = np.concatenate(([0], np.cumsum(per_line)))[np.concatenate(([0], np.cumsum(counts)))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cols, fields=list(_ARROW.value_type)))
 
 
 @F.arrow_udf(_UNIT)
 def _units_of(text: pa.Array) -> pa.Array:
-    parts = []
-    for _, texts in text_slices(text, 1_000_000):
-        found = [list(units(t)) for t in texts]
-        flat = [u for f in found for u in f]
-        bands = np.array([u[5] if u[5] is not None else np.zeros(BANDS, np.int64) for u in flat], np.int64).reshape(-1, BANDS)
-        piece = np.array([u[5] is None for u in flat], bool)
-        cols = [pa.array([u[i] for u in flat], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()))]
-        cols += [pa.array(bands[:, i], mask=piece) for i in range(BANDS)]
-        offsets = pa.array(np.concatenate(([0], np.cumsum([len(f) for f in found]))), pa.int32())
-        parts.append(pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(cols, fields=list(_ARROW.value_type))))
+    parts = [units(texts) for _, texts in text_slices(text, 1_000_000)]
     return pa.concat_arrays(parts) if parts else pa.array([], _ARROW)
 
 
@@ -144,7 +182,7 @@ def _alike(sets: list[np.ndarray]) -> np.ndarray:
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) within the groups of rows (band, part, key, shingles) sorted by group: a spanning forest of each."""
 
-    def forest(keys: list[bytes], sets: list[np.ndarray]) -> Iterator[tuple[bytes, bytes]]:
+    def forest(keys: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         if len(keys) < 2:
             return
         near, root = _alike(sets), np.arange(len(keys))
@@ -159,16 +197,16 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     now, keys, sets = None, [], []
     for batch in batches:
-        out: list[tuple[bytes, bytes]] = []
+        out: list[tuple[int, int]] = []
         for group, key, s in zip(zip(batch.column("band").to_pylist(), batch.column("part").to_pylist()), batch.column("key").to_pylist(), batch.column("shingles")):
             if group != now:
                 out += forest(keys, sets)
                 now, keys, sets = group, [], []
             keys.append(key)
             sets.append(np.frombuffer(s.as_py(), np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
     out = list(forest(keys, sets))
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def paragraph_links(lines: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -192,7 +230,7 @@ def paragraph_links(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     texts = lines.select("key", "paragraph").join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("paragraph").alias("paragraph"))
     sets = written(texts.select("key", _shingle_set("paragraph").alias("shingles")), "shingles")
     grouped = dealt.join(sets, "key").repartition("band", "part").sortWithinPartitions("band", "part")
-    return written(grouped.select("band", "part", "key", "shingles").mapInArrow(_verified, "a binary, b binary"), "paragraph-links")
+    return written(grouped.select("band", "part", "key", "shingles").mapInArrow(_verified, "a bigint, b bigint"), "paragraph-links")
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -208,23 +246,27 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block:
     """
     # rows are numbered before they are exploded, or the numbers would be of passages
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), _units_of(F.coalesce(F.col(text), F.lit(""))).alias("us"))
-    held = written(rows.select("doc_id", "rid", F.explode("us").alias("u")).select("doc_id", "rid", "u.*"), "passages")
-    lines = held.where("paragraph is not null")
-    roots = components(paragraph_links(lines, block), "a", "b")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "line", "first")
+    held = written(rows.select("doc_id", "rid", F.explode("us").alias("u")).select("doc_id", "rid", "u.*"), "passages", "zstd")
+    roots = components(paragraph_links(held.where("paragraph is not null"), block), "a", "b")
+    # keys that several rows have, or that link to others: most passages have no part in what follows
+    rows_of = held.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
+    rooted = rows_of.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("class_key", F.coalesce("root", "key"))
+    linked = roots.select(F.col("root").alias("key")).distinct().withColumn("has_links", F.lit(True))
+    rooted = written(rooted.join(linked, "key", "left").where("lo <> hi or root is not null or has_links").select("key", "class_key", "lo", "hi"), "keys")
+    several = rooted.groupBy("class_key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+    found = written(rooted.select("key", "class_key").join(several.select("class_key"), "class_key"), "classes")
+    few = found.count() <= BROADCAST
     flat = held.select("doc_id", "rid", "line", "first", "end", "key", F.col("paragraph").isNotNull().alias("whole"))
-    # alike paragraphs share a class, and so do equal pieces
-    per_key = flat.groupBy("key").agg(F.min(place).alias("start"), F.min("rid").alias("lo"), F.max("rid").alias("hi"))
-    rooted = per_key.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("class_key", F.coalesce("root", "key"))
-    classes = rooted.groupBy("class_key").agg(F.min("start").alias("start"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
-    found = written(rooted.select("key", "class_key").join(classes.select("class_key", "start"), "class_key"), "classes")
-    each = flat.join(found, "key").withColumn("removed", ~place.eqNullSafe(F.col("start"))).withColumn("n_words", F.col("end") - F.col("first"))
+    each = written(flat.join(F.broadcast(found) if few else found, "key"), "members")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "line", "first")
+    start = each.groupBy("class_key").agg(F.min(place).alias("start"))
+    each = each.join(start, "class_key").withColumn("removed", ~place.eqNullSafe(F.col("start"))).withColumn("n_words", F.col("end") - F.col("first"))
     # pieces count where they run on to LEAST words; a document's own pieces are few
     in_line = W.partitionBy("rid", "line").orderBy("first")
     pieces = each.where("not whole").withColumn("run", F.sum(F.coalesce((F.lag("end").over(in_line) != F.col("first")).cast("int"), F.lit(1))).over(in_line))
     pieces = pieces.withColumn("run_words", F.sum("n_words").over(W.partitionBy("rid", "line", "run"))).where(F.col("run_words") >= LEAST).drop("run", "run_words")
     out = each.where("whole").unionByName(pieces)
-    return out.select("rid", "doc_id", "line", F.col("first").alias("first_word"), F.col("end").alias("end_word"), "n_words", F.lower(F.hex("class_key")).alias("class_key"), F.col("start.doc_id").alias("class_doc_id"), "removed", "whole")
+    return out.select("rid", "doc_id", "line", F.col("first").alias("first_word"), F.col("end").alias("end_word"), "n_words", F.lower(F.lpad(F.hex("class_key"), 16, "0")).alias("class_key"), F.col("start.doc_id").alias("class_doc_id"), "removed", "whole")
 
 
 def cut(text: str, spans: list[tuple[int, int, int]]) -> str:
