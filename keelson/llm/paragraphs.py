@@ -12,16 +12,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
 import xxhash
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.llm.common import text_slices, written
+from keelson.llm.common import open_fs, shared_dir, text_slices, written
 from keelson.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -30,6 +33,8 @@ BANDS, ROWS = 10, 3
 LEAST, PIECE, CUT = 20, 8, 12
 #: Paragraphs of a band compared in one piece; larger buckets are dealt out in pairs of blocks.
 BLOCK = 256
+#: monotonically_increasing_id has the partition above, and the row in it in so many bits.
+PART_BITS = 33
 #: Words whose hashes a task keeps, and keys of repeated passages up to which they are broadcast (16 bytes each).
 CACHE, BROADCAST = 400_000, 1_000_000
 
@@ -157,9 +162,38 @@ def _units_of(text: pa.Array) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], _ARROW)
 
 
-@F.arrow_udf(T.BinaryType())
-def _shingle_set(paragraph: pa.Array) -> pa.Array:
-    return pa.array([np.unique(shingles(_hashes(p.as_py().encode("utf-8", "surrogatepass").lower().split()))).tobytes() for p in paragraph], pa.binary())
+@lru_cache(maxsize=4)
+def _asked(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, sorted, and rows of the paragraphs that are asked of one part of the passages."""
+    fs, path = open_fs(uri)
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    t = pads.dataset(path, filesystem=fs, format="parquet").to_table(columns=["key", "rid"])
+    key, rid = t["key"].to_numpy(), t["rid"].to_numpy()
+    order = np.argsort(key)
+    return key[order], rid[order]
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
+    """Rows (key, shingles) of those rows (key, rid, paragraph) that are asked for, one for each key."""
+    given: tuple[int, set[int]] = (-1, set())
+    for batch in batches:
+        key, rid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rid"))
+        out: list[tuple[int, bytes]] = []
+        for part in np.unique(rid >> PART_BITS).tolist():
+            if part != given[0]:
+                given = (part, set())
+            keys, rids = _asked(f"{uri}/part={part}")
+            if not len(keys):
+                continue
+            mine = np.flatnonzero(rid >> PART_BITS == part)
+            at = np.minimum(np.searchsorted(keys, key[mine]), len(keys) - 1)
+            for i in mine[(keys[at] == key[mine]) & (rids[at] == rid[mine])].tolist():
+                if key[i] not in given[1]:  # a row may repeat a paragraph
+                    given[1].add(key[i])
+                    words = batch.column("paragraph")[i].as_py().encode("utf-8", "surrogatepass").lower().split()
+                    out.append((key[i], np.unique(shingles(_hashes(words))).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["key", "shingles"])
 
 
 def _alike(sets: list[np.ndarray]) -> np.ndarray:
@@ -212,13 +246,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def paragraph_links(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b) keys of paragraphs whose links connect the same ones as all verified pairs do.
 
-    ``lines`` has key, paragraph and the bands. Copies are one key. Only
+    ``lines`` has key, rid, paragraph and the bands. Copies are one key. Only
     paragraphs that share a band with another are read again for verification,
     in groups of at most twice ``block``; a group gives a spanning forest, not
-    its pairs.
+    its pairs. What is asked for is written by the part of the table that has
+    it, and each task looks up its own parts' lists, so texts are not shuffled.
     """
-    distinct = lines.groupBy("key").agg(*[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
-    bands = distinct.select("key", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
+    distinct = lines.groupBy("key").agg(F.min("rid").alias("rid"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
+    bands = distinct.select("key", "rid", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
     by_band = W.partitionBy("band")
     shared = bands.withColumn("n", F.count("*").over(by_band)).where("n > 1").withColumn("rank", F.row_number().over(by_band.orderBy("key")) - 1)
     shared = written(shared, "shared-bands")
@@ -227,8 +262,10 @@ def paragraph_links(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     others = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
     dealt = shared.select("band", "key", me.alias("me"), blocks.alias("blocks"), others.alias("other"))
     dealt = dealt.select("band", "key", (F.least("me", "other") * F.col("blocks") + F.greatest("me", "other")).alias("part"))
-    texts = lines.select("key", "paragraph").join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("paragraph").alias("paragraph"))
-    sets = written(texts.select("key", _shingle_set("paragraph").alias("shingles")), "shingles")
+    asked = shared_dir(lines.sparkSession, "asked")
+    part = F.shiftright("rid", PART_BITS).alias("part")
+    shared.groupBy("key").agg(F.min("rid").alias("rid")).select("key", "rid", part).repartition("part").write.partitionBy("part").parquet(asked)
+    sets = written(lines.select("key", "rid", "paragraph").mapInArrow(lambda it: _shingle_sets(it, asked), "key bigint, shingles binary"), "shingles")
     grouped = dealt.join(sets, "key").repartition("band", "part").sortWithinPartitions("band", "part")
     return written(grouped.select("band", "part", "key", "shingles").mapInArrow(_verified, "a bigint, b bigint"), "paragraph-links")
 
