@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BY_KEY = W.partitionBy("slot", "key").orderBy("arrival")
+
+def _by_key() -> W:
+    return W.partitionBy("slot", "key").orderBy("arrival")
 
 
 def effective(ops: DataFrame) -> DataFrame:
     """Marks each operation: a delete takes effect only on a key that exists, that is, whose last operation was a put."""
-    return ops.withColumn("applied", F.coalesce((F.col("kind") == "put") | (F.lag("kind").over(BY_KEY) == "put"), F.lit(False)))
+    return ops.withColumn("applied", F.coalesce((F.col("kind") == "put") | (F.lag("kind").over(_by_key()) == "put"), F.lit(False)))
 
 
 def replay(ops: DataFrame) -> DataFrame:
@@ -22,7 +24,7 @@ def replay(ops: DataFrame) -> DataFrame:
     window by key and sequences one by slot: two shuffles, whatever the lengths.
     """
     log = effective(ops).where("applied").drop("applied")
-    ended = F.coalesce(F.sum((F.col("kind") == "delete").cast("bigint")).over(BY_KEY.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ended = F.coalesce(F.sum((F.col("kind") == "delete").cast("bigint")).over(_by_key().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     log = log.withColumn("lifetime", ended)
     in_life = W.partitionBy("slot", "key", "lifetime").orderBy("arrival")
     log = log.withColumn("version", F.row_number().over(in_life).cast("bigint")).withColumn("created_at", F.first("at").over(in_life))

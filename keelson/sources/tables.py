@@ -29,11 +29,11 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Increments of a histogram family (scenario, target, stage, role, result, value), to be summed into snapshots."""
+    """Increments of a histogram family (seq, scenario, target, stage, role, result, value), to be summed into snapshots."""
     e = table(spark, sf_dir, "events")
     role = F.when(F.col("user_id") % 2 == 0, "head").otherwise("tail")
-    result = F.when(F.col("value") > 10, "slow").otherwise("success")
-    return e.select(F.date_format("ts", "yyyy-MM-dd").alias("scenario"), F.concat(F.lit("store-"), F.col("user_id") % 3).alias("target"), F.col("event_type").alias("stage"), role.alias("role"), result.alias("result"), (F.col("value") / 1000).alias("value"))
+    result = F.when(F.col("value") > 100, "slow").otherwise("success")
+    return e.select(F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd").alias("scenario"), F.concat(F.lit("store-"), F.col("user_id") % 3).alias("target"), F.col("event_type").alias("stage"), role.alias("role"), result.alias("result"), (F.col("value") / 1000).alias("value"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,3 +56,12 @@ def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heartbeats (node_id, seq, at, state): users are nodes; an error is a suspicion."""
     state = F.when(F.col("event_type") == "error", "suspect").when((F.col("event_type") == "signup") & (F.col("value") > 40), "dead").otherwise("healthy")
     return table(spark, sf_dir, "events").select(F.concat(F.lit("node-"), "user_id").alias("node_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), state.alias("state"))
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host probes (node_id, seq, at, idle, total, network): the events of a user; its second interface comes and goes."""
+    card = lambda rx: F.struct(rx.alias("rx"), (F.col("event_id") * 300_000).alias("tx"))
+    first, second = card(F.col("event_id") * 900_000), card(F.col("event_id") * 700_000 % 50_000_000)
+    network = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("eth0"), first)).otherwise(F.create_map(F.lit("eth0"), first, F.lit("eth1"), second))
+    total = F.col("event_id") * 100 + F.floor("value") % 50
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("node-"), "user_id").alias("node_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), (F.col("event_id") * 60).alias("idle"), total.alias("total"), network.alias("network"))
