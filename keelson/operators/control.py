@@ -73,10 +73,11 @@ def read_targets(read_replicas: Column, tail: Column) -> Column:
 def eligible(nodes: DataFrame, replicas: DataFrame) -> DataFrame:
     """(slot, node_id): nodes that may join a chain: not in it, and sharing no failure domain with it.
 
-    The conflict is an equi-join on (key, value) of exploded domains. All pairs
-    of asked slots and nodes are the answer, so ask for slots that need one.
+    The conflict is an equi-join on (key, value) of exploded domains. The answer
+    may hold every node for every slot, so ask for slots that need one.
     """
-    pairs = replicas.select("slot").distinct().join(F.broadcast(nodes.select("node_id")))
+    ranked = nodes.select("node_id", (F.row_number().over(W.orderBy("node_id")) - 1).alias("rank"))
+    pairs = replicas.select("slot").distinct().select("slot", F.explode(F.sequence(F.lit(0), F.lit(nodes.count() - 1))).alias("rank")).join(ranked, "rank").select("slot", "node_id")
     domains = nodes.select("node_id", F.explode("domains").alias("k", "v"))
     held = replicas.select("slot", "node_id").join(domains, "node_id").select("slot", "k", "v").distinct()
     clash = domains.join(held, ["k", "v"]).select("slot", "node_id").distinct()
@@ -99,8 +100,10 @@ def best_candidates(candidates: DataFrame, loads: DataFrame) -> DataFrame:
 
 def rotation(slots: DataFrame, nodes: DataFrame) -> DataFrame:
     """(slot, pos, node_id) where every node has every slot: the sorted ids, turned by the slot. Nodes are few."""
-    ranked = nodes.select("node_id", (F.row_number().over(W.orderBy("node_id")) - 1).alias("rank"), F.count("*").over(W.partitionBy()).alias("n"))
-    return slots.join(F.broadcast(ranked)).select("slot", F.pmod(F.col("rank") - F.col("slot"), F.col("n")).cast("bigint").alias("pos"), "node_id")
+    ranked = nodes.select("node_id", (F.row_number().over(W.orderBy("node_id")) - 1).alias("rank"))
+    n = nodes.count()
+    places = slots.select("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"))
+    return places.withColumn("rank", F.pmod(F.col("slot") + F.col("pos"), F.lit(n)).cast("int")).join(ranked, "rank").select("slot", F.col("pos").cast("bigint").alias("pos"), "node_id")
 
 
 def identity_conflict(a: Column, b: Column, address_a: Column, address_b: Column) -> Column:
