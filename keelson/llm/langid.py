@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keelson.llm.common import fold_of, text_slices
+from keelson.llm.common import fold_of, least_hashed, text_slices
 
 #: Labelled documents of each language that the model is fitted on, those with the least hashes.
 SAMPLE = 3_000
@@ -120,12 +120,12 @@ class Model:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, sample: int = SAMPLE) -> Model:
     """The model of rows with a language whose fold is not 0, at most ``sample`` of each language.
 
-    The counting is spread over the cluster; the driver gets WORDS + LONGEST *
+    Rows alike in id and text count as one of the sample. The counting is spread over the cluster; the driver gets WORDS + LONGEST *
     GRAMS entries at most (and one more for each language).
     """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h"), fold_of(doc_id, folds).alias("fold")).where("lang is not null and text is not null and fold <> 0")
     # the hash of the sample's last row, so that texts needn't be sorted
-    ranked = rows.select("lang", "h").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample)
+    ranked = least_hashed(rows.select("lang", "h"), "lang", sample).distinct().withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample)
     last = ranked.groupBy("lang").agg(F.max("h").alias("last"))
     some = rows.join(F.broadcast(last) if last.count() <= 10_000 else last, "lang").where("h <= last").select("lang", "text")
     counted = some.mapInArrow(_counts, "lang string, n int, gram string, c bigint").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
