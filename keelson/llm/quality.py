@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import fold_of, text_slices
+from keelson.llm.common import fold_of, least_hashed, text_slices
 
 #: Labelled texts of each class that are fitted on, those with the least hashes; latent dimensions; voters of a document.
 SAMPLE, DIMENSIONS, NEIGHBOURS = 3_000, 64, 25
@@ -107,6 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     2 * sample rows of TERMS numbers (38 MB), and the broadcast vectors take 2 * sample * DIMENSIONS (1.5 MB)."""
     marked = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     marked = marked.where(fold_of("id", folds) != 0).withColumn("h", F.xxhash64(F.col("id").cast("string"), F.lit(11)))
+    marked = least_hashed(marked, "label", sample)
     chosen = [marked.where(F.col("label") == k).distinct().orderBy("h", "id").limit(sample) for k in (0, 1)]
     chosen_ids = chosen[0].unionByName(chosen[1])
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(F.broadcast(chosen_ids), F.col("doc") == F.col("id")).select("h", "label", "text")
