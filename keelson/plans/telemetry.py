@@ -103,15 +103,16 @@ def grand_total(spark, sf):
     return rounded(M.snapshot(S.counters(spark, sf), []))
 
 
-@query("JON2_snapshot_diff", f"WITH {DIFF} SELECT {_K}, count, round(sum, 6) AS sum, round(CASE WHEN count = 0 THEN 0 ELSE sum / count * 1000 END, 4) AS mean_ms FROM diff")
+# sums of doubles depend on their order: 1e-9 on both sides lets halves of the last digit round up either way
+@query("JON2_snapshot_diff", f"WITH {DIFF} SELECT {_K}, count, round(sum, 6) AS sum, round(CASE WHEN count = 0 THEN 0 ELSE sum / count * 1000 END + 1e-9, 4) AS mean_ms FROM diff")
 def snapshot_diff(spark, sf):
-    return _diff(spark, sf).withColumn("mean_ms", F.round(M.mean_ms(), 4)).withColumn("sum", F.round("sum", 6))
+    return _diff(spark, sf).withColumn("mean_ms", F.round(M.mean_ms() + 1e-9, 4)).withColumn("sum", F.round("sum", 6))
 
 
-@query("AGG15_stage_shares", f"WITH {DIFF}, {SHARES} SELECT scenario, stage, CAST(count AS BIGINT) AS count, round(sum, 6) AS sum, round(mean_ms, 4) AS mean_ms, round(share, 4) AS share, rank FROM shares")
+@query("AGG15_stage_shares", f"WITH {DIFF}, {SHARES} SELECT scenario, stage, CAST(count AS BIGINT) AS count, round(sum, 6) AS sum, round(mean_ms + 1e-9, 4) AS mean_ms, round(share + 1e-9, 4) AS share, rank FROM shares")
 def stage_shares(spark, sf):
     out = M.shares(_diff(spark, sf).where("result = 'success'"), ["scenario"], "stage")
-    return out.select("scenario", "stage", "count", F.round("sum", 6).alias("sum"), F.round("mean_ms", 4).alias("mean_ms"), F.round("share", 4).alias("share"), F.col("rank").cast("bigint").alias("rank"))
+    return out.select("scenario", "stage", "count", F.round("sum", 6).alias("sum"), F.round(F.col("mean_ms") + 1e-9, 4).alias("mean_ms"), F.round(F.col("share") + 1e-9, 4).alias("share"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("AGG16_dominant_stage", f"WITH {DIFF}, {SHARES} SELECT scenario, stage AS dominant, share >= 35 AND (coalesce(next, 0) = 0 OR sum >= 1.5 * next) AS clear FROM (SELECT *, lead(sum) OVER (PARTITION BY scenario ORDER BY rank) AS next FROM shares) WHERE rank = 1")
