@@ -1,11 +1,16 @@
-"""Substring dedup: MinHash banding of paragraphs, exact verification, removal by components.
+"""Substring dedup: MinHash banding of paragraphs, exact verification, removal by components; and all verbatim runs.
 
 Paragraphs are lines of a text. Those of LEAST words or more get a MinHash
 signature of their five-word shingles, banded for high recall (ten bands of
 three: a pair at the threshold is missed one time in 1,500). Paragraphs that
 collide in a band are joined, verified by exact Jaccard, and linked into
-components. A passage may also lie inside a longer paragraph: its pieces, cut
-where the words themselves say so, are compared as they are.
+components.
+
+A passage may also lie anywhere in the words of a text, within or across
+lines. Every LEAST words in a row (a gram) have an anchor, the ANCHOR words in
+them of the least hash, so two rows that share a gram share its anchor. Grams
+whose anchor several rows have are compared themselves, each of them, and
+those that several rows have make up the repeated runs.
 """
 
 from __future__ import annotations
@@ -23,19 +28,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from keelson.llm.common import open_fs, shared_dir, text_slices, written
 from keelson.llm.components import components
+from keelson.llm.ngram import load, save
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
-#: Words of a paragraph, and of a run of repeated pieces, that count as a passage; words of a piece, at least and on average about.
-LEAST, PIECE, CUT = 20, 8, 12
+#: Words of a paragraph, and of a repeated run, that count as a passage; words of the anchor of a gram.
+LEAST, ANCHOR = 20, 8
+#: Bits, as a power of two, of a file of the anchors that several rows have; rows of an anchor from which its grams are dealt out one by one.
+SEGMENT, HOT = 20, 256
+#: Grams that a task compares at once, and rows it hands on at once.
+HELD, HANDED = 1_000_000, 50_000
 #: Paragraphs of a band compared in one piece; larger buckets are dealt out in pairs of blocks.
 BLOCK = 256
 #: monotonically_increasing_id has the partition above, and the row in it in so many bits.
 PART_BITS = 33
-#: Words whose hashes a task keeps, and keys of repeated passages up to which they are broadcast (16 bytes each).
+#: Words whose hashes a task keeps, and keys of repeated passages up to which they are broadcast (16 bytes each; 32 for runs).
 CACHE, BROADCAST = 400_000, 1_000_000
 
 _RNG = np.random.default_rng(5)
@@ -105,55 +116,55 @@ def _key(words: list[bytes], seed: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-_UNIT = T.ArrayType(
-    T.StructType(
-        [T.StructField("line", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("paragraph", T.StringType())]
-        + [T.StructField(f"b{i}", T.LongType()) for i in range(BANDS)]
-    )
+_ANCHORS = T.ArrayType(T.LongType())
+_UNIT = T.StructType(
+    [
+        T.StructField("us", T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("key", T.LongType())] + [T.StructField(f"b{i}", T.LongType()) for i in range(BANDS)]))),
+        T.StructField("anchors", _ANCHORS),
+    ]
 )
-_ARROW = pa.list_(pa.struct([("line", pa.int32()), ("first", pa.int32()), ("end", pa.int32()), ("key", pa.int64()), ("paragraph", pa.string())] + [(f"b{i}", pa.int64()) for i in range(BANDS)]))
+_ARROW = pa.struct([("us", pa.list_(pa.struct([("line", pa.int32()), ("end", pa.int32()), ("key", pa.int64())] + [(f"b{i}", pa.int64()) for i in range(BANDS)]))), ("anchors", pa.list_(pa.int64()))])
 
 
-def units(texts: list[str]) -> pa.Array:
-    """For each text its paragraphs of LEAST words or more, with bands, and after each one its pieces, without.
+def _lines(text: str) -> list[list[bytes]]:
+    return [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * _MIX[0] + (b ^ (b >> np.uint64(32))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(29))) * _MIX[2]
+    return x ^ (x >> np.uint64(32))
+
+
+def anchored(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For texts of ``sizes`` words, whose hashes come one after the other: where grams begin, where their anchors do, and hashes of anchors and grams at every word."""
+    if len(h) < LEAST:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    four = _rolled(h, 4)
+    eight = _pair(four[:-4], four[4:])
+    n = len(h) - LEAST + 1
+    at = np.flatnonzero(np.repeat(np.cumsum(sizes), sizes)[:n] - np.arange(n) >= LEAST)
+    least = np.lib.stride_tricks.sliding_window_view(eight, LEAST - ANCHOR + 1).argmin(axis=1)
+    return at, at + least[at], eight, _pair(_pair(eight[:n], eight[8 : 8 + n]), four[16 : 16 + n])
 
-    A piece ends after a word that, with the one before, has a hash of a
-    certain kind, once it has PIECE words; so the same passage is cut alike
-    wherever it lies, but for its ends.
-    """
-    lines, counts = [], []
-    for t in texts:
-        before = len(lines)
-        for k, line in enumerate(t.split("\n")):
-            words = line.encode("utf-8", "surrogatepass").lower().split()
-            if len(words) >= LEAST:
-                lines.append((k, line, words))
-        counts.append(len(lines) - before)
-    sizes = np.array([len(x[2]) for x in lines], np.int64)
-    h = _hashes([w for x in lines for w in x[2]])
-    bands = signatures(h, sizes)
-    ends_at = np.zeros(len(h), bool)
-    ends_at[1:] = (h[1:] ^ (h[:-1] * _MIX[0])) % np.uint64(CUT) == 0
-    cuts = np.flatnonzero(ends_at)
-    edges = np.concatenate(([0], np.cumsum(sizes)))
-    bounds = np.searchsorted(cuts, edges)
-    rows: list[tuple] = []
-    where, per_line = [], []
-    for i, (k, line, words) in enumerate(lines):
-        where.append(len(rows))
-        rows.append((k, 0, len(words), _key(words, 0), line))
-        last = 0
-        for e in (cuts[bounds[i] : bounds[i + 1]] - edges[i] + 1).tolist() + [len(words)]:
-            if e - last >= PIECE:
-                rows.append((k, last, e, _key(words[last:e], 1), None))
-                last = e
-        per_line.append(len(rows) - where[-1])
-    all_bands, whole = np.zeros((len(rows), BANDS), np.int64), np.zeros(len(rows), bool)
-    all_bands[where], whole[where] = bands, True
-    cols = [pa.array([r[i] for r in rows], t.type) for i, t in enumerate(list(_ARROW.value_type)[:5])]
-    cols += [pa.array(all_bands[:, i], mask=~whole) for i in range(BANDS)]
-    ends = np.concatenate(([0], np.cumsum(per_line)))[np.concatenate(([0], np.cumsum(counts)))]
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cols, fields=list(_ARROW.value_type)))
+
+def units(texts: list[str]) -> pa.Array:
+    """For each text its lines of LEAST words or more, with bands, and the anchors of its grams."""
+    split = [_lines(t) for t in texts]
+    sizes = np.array([len(words) for lines in split for words in lines], np.int64)
+    of_text = np.array([sum(map(len, lines)) for lines in split], np.int64)
+    h = _hashes([w for lines in split for words in lines for w in words])
+    long = sizes >= LEAST
+    bands = signatures(h[np.repeat(long, sizes)], sizes[long])
+    rows = [[(k, len(words), _key(words, 0)) for k, words in enumerate(lines) if len(words) >= LEAST] for lines in split]
+    flat = [r for x in rows for r in x]
+    cols = [pa.array([r[i] for r in flat], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64()))] + [pa.array(bands[:, i]) for i in range(BANDS)]
+    kind = _ARROW.field("us").type
+    us = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.StructArray.from_arrays(cols, fields=list(kind.value_type)))
+    _, at, keys, _ = anchored(h, of_text)
+    at = np.unique(at)
+    ends = np.searchsorted(at, np.concatenate(([0], np.cumsum(of_text))))
+    return pa.StructArray.from_arrays([us, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[at].view(np.int64)))], fields=list(_ARROW))
 
 
 @F.arrow_udf(_UNIT)
@@ -163,36 +174,31 @@ def _units_of(text: pa.Array) -> pa.Array:
 
 
 @lru_cache(maxsize=4)
-def _asked(uri: str) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, sorted, and rows of the paragraphs that are asked of one part of the passages."""
+def _asked(uri: str) -> dict[int, set[int]]:
+    """Keys of the paragraphs that are asked of each row of one part of the texts."""
     fs, path = open_fs(uri)
     if fs.get_file_info(path).type == pafs.FileType.NotFound:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return {}
     t = pads.dataset(path, filesystem=fs, format="parquet").to_table(columns=["key", "rid"])
-    key, rid = t["key"].to_numpy(), t["rid"].to_numpy()
-    order = np.argsort(key)
-    return key[order], rid[order]
+    out: dict[int, set[int]] = {}
+    for key, rid in zip(t["key"].to_pylist(), t["rid"].to_pylist()):
+        out.setdefault(rid, set()).add(key)
+    return out
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
-    """Rows (key, shingles) of those rows (key, rid, paragraph) that are asked for, one for each key."""
-    given: tuple[int, set[int]] = (-1, set())
+    """Rows (key, shingles) of those paragraphs of rows (rid, text) that are asked for, one for each key."""
     for batch in batches:
-        key, rid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rid"))
         out: list[tuple[int, bytes]] = []
-        for part in np.unique(rid >> PART_BITS).tolist():
-            if part != given[0]:
-                given = (part, set())
-            keys, rids = _asked(f"{uri}/part={part}")
-            if not len(keys):
+        for i, rid in enumerate(batch.column("rid").to_pylist()):
+            keys = _asked(f"{uri}/part={rid >> PART_BITS}").get(rid)
+            if not keys:
                 continue
-            mine = np.flatnonzero(rid >> PART_BITS == part)
-            at = np.minimum(np.searchsorted(keys, key[mine]), len(keys) - 1)
-            for i in mine[(keys[at] == key[mine]) & (rids[at] == rid[mine])].tolist():
-                if key[i] not in given[1]:  # a row may repeat a paragraph
-                    given[1].add(key[i])
-                    words = batch.column("paragraph")[i].as_py().encode("utf-8", "surrogatepass").lower().split()
-                    out.append((key[i], np.unique(shingles(_hashes(words))).tobytes()))
+            given = set()  # a row may repeat a paragraph
+            for words in _lines(batch.column("text")[i].as_py()):
+                if len(words) >= LEAST and (key := _key(words, 0)) in keys and key not in given:
+                    given.add(key)
+                    out.append((key, np.unique(shingles(_hashes(words))).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["key", "shingles"])
 
 
@@ -243,10 +249,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def paragraph_links(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+def paragraph_links(lines: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b) keys of paragraphs whose links connect the same ones as all verified pairs do.
 
-    ``lines`` has key, rid, paragraph and the bands. Copies are one key. Only
+    ``lines`` has key, rid and the bands, ``rows`` rid and text. Copies are one key. Only
     paragraphs that share a band with another are read again for verification,
     in groups of at most twice ``block``; a group gives a spanning forest, not
     its pairs. What is asked for is written by the part of the table that has
@@ -265,26 +271,256 @@ def paragraph_links(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     asked = shared_dir(lines.sparkSession, "asked")
     part = F.shiftright("rid", PART_BITS).alias("part")
     shared.groupBy("key").agg(F.min("rid").alias("rid")).select("key", "rid", part).repartition("part").write.partitionBy("part").parquet(asked)
-    sets = written(lines.select("key", "rid", "paragraph").mapInArrow(lambda it: _shingle_sets(it, asked), "key bigint, shingles binary"), "shingles")
+    sets = written(rows.select("rid", "text").mapInArrow(lambda it: _shingle_sets(it, asked), "key bigint, shingles binary"), "shingles")
     grouped = dealt.join(sets, "key").repartition("band", "part").sortWithinPartitions("band", "part")
     return written(grouped.select("band", "part", "key", "shingles").mapInArrow(_verified, "a bigint, b bigint"), "paragraph-links")
 
 
+def build_segments(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Writes bits of the keys of each segment; gives the segments."""
+    bits: dict[int, np.ndarray] = {}
+    for batch in batches:
+        seg, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("segment", "place"))
+        for s in np.unique(seg).tolist():
+            x = place[seg == s]
+            np.bitwise_or.at(bits.setdefault(s, np.zeros(1 << SEGMENT - 3, np.uint8)), x >> 3, (1 << (x & 7)).astype(np.uint8))
+    for s, x in bits.items():
+        save(f"{folder}/anchors-{s}", [x])
+    yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int64())], names=["segment"])
+
+
+def _is_shared(keys: np.ndarray, folder: str, size: int, present: frozenset[int]) -> np.ndarray:
+    """Whether several rows may have each anchor; a few that one row alone has are taken too."""
+    at = (keys & np.uint64(size - 1)).astype(np.int64)
+    seg, place = at >> SEGMENT, at & ((1 << SEGMENT) - 1)
+    out = np.zeros(len(keys), bool)
+    order = np.argsort(seg, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(seg[order])) + 1):
+        if len(part) and int(seg[part[0]]) in present:
+            x = place[part]
+            out[part] = load(f"{folder}/anchors-{seg[part[0]]}")[0][x >> 3] >> (x & 7) & 1
+    return out
+
+
+def _strings(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Binary values of stretches of 64-bit numbers that follow each other without a gap."""
+    offsets = np.concatenate((first, end[-1:])).astype(np.int32) * 8
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _grams(batches: Iterator[pa.RecordBatch], folder: str, size: int, present: frozenset[int]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, split, rid, doc_id, first, grams) of texts (rid, doc_id, text): stretches of grams of one shared anchor.
+
+    An anchor of many rows has its grams dealt over splits, by the grams. A row
+    with key null and first -1 has the words of each line of a text with such grams.
+    """
+    hot, splits = load(f"{folder}/hot")
+    for batch in batches:
+        rid, doc = batch.column("rid").to_numpy(zero_copy_only=False), batch.column("doc_id")
+        for start, texts in text_slices(batch.column("text"), 1_000_000):
+            split = [_lines(t) for t in texts]
+            of_text = np.array([sum(map(len, lines)) for lines in split], np.int64)
+            p, at, keys, grams = anchored(_hashes([w for lines in split for words in lines for w in words]), of_text)
+            if not len(p):
+                continue
+            where, back = np.unique(at, return_inverse=True)
+            kept = _is_shared(keys[where], folder, size, present)[back]
+            p, at = p[kept], at[kept]
+            if not len(p):
+                continue
+            key, gram = keys[at].view(np.int64), grams[p]
+            part = np.zeros(len(p), np.int64)
+            if len(hot):
+                i = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                many = hot[i] == key
+                part[many] = (gram[many] >> np.uint64(20)) % splits[i[many]].astype(np.uint64)
+            begins = np.cumsum(of_text) - of_text
+            text = np.searchsorted(begins, p, side="right") - 1
+            new = np.concatenate(([True], (p[1:] != p[:-1] + 1) | (at[1:] != at[:-1]) | (part[1:] != part[:-1]) | (text[1:] != text[:-1])))
+            first = np.flatnonzero(new)
+            end = np.append(first[1:], len(p))
+            own = text[first]
+            for lo in range(0, len(first), HANDED):
+                cut_ = slice(lo, lo + HANDED)
+                f, e, o = first[cut_], end[cut_], own[cut_]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[f]), pa.array(part[f]), pa.array(rid[start + o]), doc.take(pa.array(start + o)), pa.array((p[f] - begins[o]).astype(np.int32)), _strings(gram, f, e)],
+                    names=["key", "split", "rid", "doc_id", "first", "grams"],
+                )
+            o = np.unique(own)
+            none = pa.nulls(len(o), pa.int64())
+            sizes = [np.array([len(words) for words in split[i]], np.int32).tobytes() for i in o.tolist()]
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(rid[start + o]), doc.take(pa.array(start + o)), pa.array(np.full(len(o), -1, np.int32)), pa.array(sizes, pa.binary())], names=["key", "split", "rid", "doc_id", "first", "grams"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches (rid, first, n, home_rid, home_doc, home_first, gram) of grams that several rows have, of rows sorted by key, split and place."""
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        key, split, rid, first = (t[c].to_numpy() for c in ("key", "split", "rid", "first"))
+        raw = t["grams"].combine_chunks()
+        raw = pa.concat_arrays(raw.chunks) if isinstance(raw, pa.ChunkedArray) else raw
+        offsets = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, raw.offset * 4)
+        gram = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy().view(np.uint64)
+        n = np.diff(offsets) // 8
+        row = np.repeat(np.arange(len(n)), n)
+        pos = first[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        group = np.cumsum(np.concatenate(([False], (key[1:] != key[:-1]) | (split[1:] != split[:-1]))))[row]
+        order = np.lexsort((gram, group))
+        g, k = gram[order], group[order]
+        begin = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (k[1:] != k[:-1]))))
+        size = np.diff(np.append(begin, len(g)))
+        home = np.repeat(order[begin], size)  # the sort is stable, so the first place comes first
+        several = np.repeat(np.logical_or.reduceat(rid[row[order]] != rid[row[home]], begin), size)
+        home_of = np.empty(len(order), np.int64)
+        home_of[order] = np.where(several, home, -1)
+        at = np.flatnonzero(home_of >= 0)
+        to = home_of[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (row[at[1:]] != row[at[:-1]]) | (pos[at[1:]] != pos[at[:-1]] + 1) | (row[to[1:]] != row[to[:-1]]) | (pos[to[1:]] != pos[to[:-1]] + 1)
+        f = np.flatnonzero(new)
+        length = np.diff(np.append(f, len(at))).astype(np.int32)
+        at, to = at[f], to[f]
+        doc = t["doc_id"].combine_chunks()
+        doc = pa.concat_arrays(doc.chunks) if isinstance(doc, pa.ChunkedArray) else doc
+        own, of = pa.array(row[at]), pa.array(row[to])
+        cols = [pa.array(rid[row[at]]), doc.take(own), pa.array(pos[at].astype(np.int32)), pa.array(length), pa.array(rid[row[to]]), doc.take(of), pa.array(pos[to].astype(np.int32)), pa.array(gram[at].view(np.int64)), pa.nulls(len(at), pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=_RUN)
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        size += batch.column("grams").nbytes
+        if size < HELD * 8:
+            continue
+        t = pa.Table.from_batches(held)
+        key, split = t["key"].to_numpy(), t["split"].to_numpy()
+        last = np.flatnonzero((key != key[-1]) | (split != split[-1]))
+        if len(last):
+            whole = int(last[-1]) + 1
+            yield found(t.slice(0, whole))
+            t = t.slice(whole)
+        held = t.combine_chunks().to_batches()
+        size = t["grams"].nbytes
+    if held:
+        yield found(pa.Table.from_batches(held))
+
+
+_RUN = ["rid", "doc_id", "first", "n", "home_rid", "home_doc", "home_first", "gram", "sizes"]
+_SPAN = ["rid", "doc_id", "line", "first_word", "end_word", "removed", "home_rid", "home_doc", "home_first", "gram"]
+
+
+def spans_of(runs: list[tuple[int, int, int, int, int]], own: int, sizes: np.ndarray) -> tuple[list[tuple], list[tuple]]:
+    """Of a row, from its stretches (first, n, home_rid, home_first, gram) by first: spans (line, first word, end word, removed, stretch) and homes (first, end, gram).
+
+    Of a gram the row that has it first keeps its first place; words of all
+    other places go, but not those that a row's own first places have too.
+    """
+    joined: list[list[int]] = []  # first, end of grams, home_rid, home_first, gram, number
+    open_: dict[tuple[int, int], list[int]] = {}
+    for i, (first, n, home, home_first, gram) in enumerate(runs):
+        of = (home, home_first - first)
+        if of in open_ and open_[of][1] == first:
+            open_[of][1] += n
+        else:
+            open_[of] = [first, first + n, home, home_first, gram, i]
+            joined.append(open_[of])
+    words = int(sizes.sum())
+    foreign, kept, again = (np.full(words, -1) for _ in range(3))
+    for first, end, home, home_first, _, i in reversed(joined):
+        (foreign if home != own else kept if home_first == first else again)[first : end + LEAST - 1] = i
+    label = np.where(foreign >= 0, foreign, np.where(kept >= 0, kept, again))
+    gone = (foreign >= 0) | ((kept < 0) & (again >= 0))
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    begins = np.cumsum(sizes) - sizes
+    edges = np.flatnonzero(np.concatenate(([True], (label[1:] != label[:-1]) | (gone[1:] != gone[:-1]) | (line[1:] != line[:-1]))))
+    out = []
+    for a, z in zip(edges.tolist(), [*edges[1:].tolist(), words]):
+        if label[a] >= 0:
+            k = int(line[a])
+            out.append((k, a - int(begins[k]), z - int(begins[k]), bool(gone[a]), int(label[a])))
+    return out, [(x[0], x[1], x[4]) for x in joined if x[2] == own and x[3] == x[0]]
+
+
+def _spans(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Spans and homes of rows sorted by rid and first, each row's line sizes first; a home has line null."""
+
+    def of_row(rows: list[dict]) -> list[tuple]:
+        head, rest = rows[0], rows[1:]
+        if not rest:
+            return []
+        rid, doc = head["rid"], head["doc_id"]
+        spans, homes = spans_of([(r["first"], r["n"], r["home_rid"], r["home_first"], r["gram"]) for r in rest], rid, np.frombuffer(head["sizes"], np.int32).astype(np.int64))
+        out = [(rid, doc, k, a, z, gone, rest[i]["home_rid"], rest[i]["home_doc"], rest[i]["home_first"], None) for k, a, z, gone, i in spans]
+        return out + [(rid, None, None, a, z, None, None, None, None, gram) for a, z, gram in homes]
+
+    held: list[dict] = []
+    for batch in batches:
+        out: list[tuple] = []
+        for r in batch.to_pylist():
+            if held and held[0]["rid"] != r["rid"]:
+                out += of_row(held)
+                held = []
+            held.append(r)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
+    out = of_row(held) if held else []
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def runs(rows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(rid, doc_id, line, first, end, class_key, class_doc_id, removed) of every LEAST words or more in a row that several rows have.
+
+    ``rows`` has rid, doc_id and text, ``anchors`` key and rid. What several
+    rows have is noted in bits, which tasks look up as they read the texts
+    again; grams of such anchors alone are shuffled, some tens in one row.
+    """
+    spark = rows.sparkSession
+    folder = shared_dir(spark, "anchors")
+    several = anchors.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    several = written(several, "shared-anchors")
+    size = 1 << max(SEGMENT, (8 * several.count()).bit_length())
+    place = several.select(F.col("key").bitwiseAND(size - 1).alias("at")).select(F.shiftright("at", SEGMENT).alias("segment"), F.col("at").bitwiseAND((1 << SEGMENT) - 1).alias("place"))
+    made = place.repartition(min(size >> SEGMENT, 4096), "segment").mapInArrow(lambda it: build_segments(it, folder), "segment bigint")
+    present = frozenset(r.segment for r in made.collect())
+    hot = several.where(F.col("n") > HOT).orderBy("key").toArrow()
+    save(f"{folder}/hot", [hot["key"].to_numpy(), hot["n"].to_numpy() // HOT + 1])
+    doc = rows.schema["doc_id"].dataType
+    kind = T.StructType([T.StructField("key", T.LongType()), T.StructField("split", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("doc_id", doc), T.StructField("first", T.IntegerType()), T.StructField("grams", T.BinaryType())])
+    grams = written(rows.select("rid", "doc_id", "text").mapInArrow(lambda it: _grams(it, folder, size, present), kind), "grams")
+    by_place = ["key", "split", F.col("doc_id").isNull(), "doc_id", "rid", "first"]
+    run_kind = T.StructType([T.StructField(c, {"doc_id": doc, "home_doc": doc, "rid": T.LongType(), "home_rid": T.LongType(), "gram": T.LongType(), "sizes": T.BinaryType()}.get(c, T.IntegerType())) for c in _RUN])
+    found = grams.where("key is not null").repartition("key", "split").sortWithinPartitions(*by_place).mapInArrow(_runs, run_kind)
+    sizes = grams.where("key is null").select("rid", "doc_id", "first", *[F.lit(None).cast(run_kind[c].dataType).alias(c) for c in _RUN[3:-1]], F.col("grams").alias("sizes"))
+    span_kind = T.StructType([T.StructField(c, {"doc_id": doc, "home_doc": doc, "rid": T.LongType(), "home_rid": T.LongType(), "gram": T.LongType(), "removed": T.BooleanType()}.get(c, T.IntegerType())) for c in _SPAN])
+    arrow = to_arrow_schema(span_kind)
+    spans = written(found.unionByName(sizes).repartition("rid").sortWithinPartitions("rid", "first").mapInArrow(lambda it: _spans(it, arrow), span_kind), "spans")
+    homes = spans.where("line is null").select(F.col("rid").alias("home_rid"), F.col("first_word").alias("from"), F.col("end_word").alias("to"), F.col("gram").alias("class_key"))
+    homes = F.broadcast(homes) if homes.count() <= BROADCAST else homes
+    out = spans.where("line is not null").drop("gram").join(homes, "home_rid").where("home_first >= from and home_first < to")
+    return out.select("rid", "doc_id", "line", F.col("first_word").alias("first"), F.col("end_word").alias("end"), "class_key", F.col("home_doc").alias("class_doc_id"), "removed")
+
+
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(rid, doc_id, line, first_word, end_word, n_words, class_key, class_doc_id, removed): each passage that other rows have too.
-
-    Of a component of passages the first stays, by doc_id (nulls last), row,
-    line and word; the others have removed true. class_doc_id is the document
-    of the one that stays. Words are lower-cased runs between white space.
-    Passages repeated within one row alone are not listed, nor are paragraphs
-    of fewer than LEAST words. Null and empty texts have no passages. rid
-    numbers the rows of ``docs``; rows alike in all columns are copies of each
-    other.
+    """(rid, doc_id, line, first_word, end_word, n_words, class_key, class_doc_id, removed, whole): each passage that other rows have too.
+
+    Whole passages are lines of LEAST words or more; of a component of them the
+    first stays, by doc_id (nulls last), row and line, and the others have
+    removed true. The others are the words of all verbatim runs of LEAST words
+    or more that several rows have, wherever they lie, line by line; the first
+    row of a run, in the same order, keeps it. class_doc_id is the document of
+    the one that stays. Words are lower-cased runs between white space.
+    Passages repeated within one row alone are not listed. Null and empty texts
+    have no passages. rid numbers the rows of ``docs``; rows alike in all
+    columns are copies of each other.
     """
-    # rows are numbered before they are exploded, or the numbers would be of passages
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), _units_of(F.coalesce(F.col(text), F.lit(""))).alias("us"))
-    held = written(rows.select("doc_id", "rid", F.explode("us").alias("u")).select("doc_id", "rid", "u.*"), "passages", "zstd")
-    roots = components(paragraph_links(held.where("paragraph is not null"), block), "a", "b")
+    # rows are numbered once, and kept: a number must mean the same row whenever it is read
+    rows = written(docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text")), "texts", "zstd")
+    read = written(rows.select("doc_id", "rid", _units_of("text").alias("u")).select("doc_id", "rid", "u.us", "u.anchors"), "passages", "zstd")
+    held = read.select("doc_id", "rid", F.explode("us").alias("u")).select("doc_id", "rid", "u.*")
+    roots = components(paragraph_links(held, rows, block), "a", "b")
     # keys that several rows have, or that link to others: most passages have no part in what follows
     rows_of = held.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
     rooted = rows_of.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("class_key", F.coalesce("root", "key"))
@@ -293,17 +529,14 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block:
     several = rooted.groupBy("class_key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
     found = written(rooted.select("key", "class_key").join(several.select("class_key"), "class_key"), "classes")
     few = found.count() <= BROADCAST
-    flat = held.select("doc_id", "rid", "line", "first", "end", "key", F.col("paragraph").isNotNull().alias("whole"))
+    flat = held.select("doc_id", "rid", "line", F.lit(0).alias("first"), "end", "key")
     each = written(flat.join(F.broadcast(found) if few else found, "key"), "members")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "line", "first")
     start = each.groupBy("class_key").agg(F.min(place).alias("start"))
-    each = each.join(start, "class_key").withColumn("removed", ~place.eqNullSafe(F.col("start"))).withColumn("n_words", F.col("end") - F.col("first"))
-    # pieces count where they run on to LEAST words; a document's own pieces are few
-    in_line = W.partitionBy("rid", "line").orderBy("first")
-    pieces = each.where("not whole").withColumn("run", F.sum(F.coalesce((F.lag("end").over(in_line) != F.col("first")).cast("int"), F.lit(1))).over(in_line))
-    pieces = pieces.withColumn("run_words", F.sum("n_words").over(W.partitionBy("rid", "line", "run"))).where(F.col("run_words") >= LEAST).drop("run", "run_words")
-    out = each.where("whole").unionByName(pieces)
-    return out.select("rid", "doc_id", "line", F.col("first").alias("first_word"), F.col("end").alias("end_word"), "n_words", F.lower(F.lpad(F.hex("class_key"), 16, "0")).alias("class_key"), F.col("start.doc_id").alias("class_doc_id"), "removed", "whole")
+    each = each.join(start, "class_key").withColumn("removed", ~place.eqNullSafe(F.col("start")))
+    whole = each.select("rid", "doc_id", "line", "first", "end", "class_key", F.col("start.doc_id").alias("class_doc_id"), "removed", F.lit(True).alias("whole"))
+    out = whole.unionByName(runs(rows, read.select("rid", F.explode("anchors").alias("key"))).withColumn("whole", F.lit(False)))
+    return out.select("rid", "doc_id", "line", F.col("first").alias("first_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("first")).alias("n_words"), F.lower(F.lpad(F.hex("class_key"), 16, "0")).alias("class_key"), "class_doc_id", "removed", "whole")
 
 
 def cut(text: str, spans: list[tuple[int, int, int]]) -> str:

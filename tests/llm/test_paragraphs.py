@@ -94,3 +94,38 @@ def test_passages_inside_paragraphs(spark):
 def test_without_repeats_keeps_rows_and_columns(edge):
     out = P.without_repeats(edge)
     assert out.columns == edge.columns and out.count() == edge.count()
+
+
+def slow_runs(docs):
+    """Words (row, line, word) of every LEAST words in a row of whole texts that two rows have."""
+    texts = []
+    for i, r in enumerate(docs.select("doc_id", "text").collect()):
+        flat = [(k, j, w) for k, line in enumerate((r.text or "").split("\n")) for j, w in enumerate(line.encode("utf-8", "surrogatepass").lower().split())]
+        texts.append((r.doc_id, flat))
+    rows_of = defaultdict(set)
+    for i, (_, flat) in enumerate(texts):
+        for a in range(len(flat) - P.LEAST + 1):
+            rows_of[tuple(w for *_, w in flat[a : a + P.LEAST])].add(i)
+    out = []
+    for _, (doc, flat) in enumerate(texts):
+        words = set()
+        for a in range(len(flat) - P.LEAST + 1):
+            if len(rows_of[tuple(w for *_, w in flat[a : a + P.LEAST])]) > 1:
+                words.update(x[:2] for x in flat[a : a + P.LEAST])
+        out += [(str(doc), *x) for x in words]
+    return sorted(out)
+
+
+def check_runs(docs):
+    got = P.repeats(docs).where("not whole").collect()
+    assert sorted((str(r.doc_id), r.line, j) for r in got for j in range(r.first_word, r.end_word)) == slow_runs(docs)
+    kept = defaultdict(set)
+    for r in got:
+        kept[r.class_key].add(r.removed)
+        assert r.removed or r.class_doc_id == r.doc_id
+    return got
+
+
+def test_all_verbatim_runs_of_whole_texts(spark, sf, edge):
+    check_runs(spark.read.parquet(f"{sf}/documents.parquet"))
+    check_runs(edge)
