@@ -129,3 +129,25 @@ def check_runs(docs):
 def test_all_verbatim_runs_of_whole_texts(spark, sf, edge):
     check_runs(spark.read.parquet(f"{sf}/documents.parquet"))
     check_runs(edge)
+
+
+def test_passages_in_short_lines_and_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(P, "HOT", 4)
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randrange(5_000_000)}" for _ in range(n)]
+    lay = lambda w, n: "\n".join(" ".join(w[a : a + n]) for a in range(0, len(w), n))
+    rows, n = [], 0
+    for length in [19, 20, 21, 34, 51, 51, 51, 52, 60, 75]:
+        passage = text(length)
+        for width in (17, 23, 1000):
+            rows.append((n, lay(text(rng.randrange(40)) + passage + text(rng.randrange(40)), width)))
+            n += 1
+    common = text(51)
+    rows += [(n + i, lay(text(30) + common + text(30), 11 + i % 9)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    got = check_runs(docs)
+    assert {r.doc_id for r in got} == set(range(3, n + 20))
+    assert {r.doc_id for r in got if not r.removed} == {*range(3, n, 3), n}
+    left = {r.doc_id: len(r.text.split()) for r in P.without_repeats(docs).collect()}
+    assert left[n] == 111 and all(left[n + i] == 60 for i in range(1, 20))
