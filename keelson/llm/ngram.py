@@ -35,7 +35,7 @@ END, BEGIN = b" </s>", b" <s>"
 #: Words and contexts have hashes of 64 bits; a successor is told apart within its context by 40.
 HASH_BITS, NEXT_BITS = 64, 40
 #: Discount of a bigram's count, least count of a bigram in the trie (others back off), steps of a power of ten in stored logarithms.
-DISCOUNT, LEAST, STEP = 0.6, 2, 4096
+DISCOUNT, LEAST, STEP = 0.6, 1, 4096
 #: Bytes of text for each shard of the trie, and tokens that a task counts before it hands them on.
 SHARD_BYTES, HELD = 8_000_000, 800_000
 _NEXT = np.uint64((1 << NEXT_BITS) - 1)
@@ -80,7 +80,8 @@ class EliasFano:
     def encode(values: np.ndarray, universe: int) -> list[np.ndarray]:
         """Arrays [n, low_bytes], low, high of sorted ``values`` below ``universe``."""
         n = len(values)
-        low_bytes = min(7, (max(1, universe // max(n, 1)).bit_length() - 1) // 8)
+        # the fewest bits in all: whole low bytes, and high bits with two ranks of 64 bits for each 64
+        low_bytes = min(range(8), key=lambda b: 8 * b * n + 3 * (n + (universe - 1 >> 8 * b)))
         v = values.astype(np.uint64)
         low = v.view(np.uint8).reshape(-1, 8)[:, :low_bytes].ravel().copy() if n else np.zeros(0, np.uint8)
         top = (v >> np.uint64(8 * low_bytes)).astype(np.int64)
@@ -328,7 +329,9 @@ def build_counts(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.
         else:
             (u, v), n = _joined(blocks, 2)
             kept = n >= LEAST
-            save(f"{folder}/counts-{shard}", [u[kept], v[kept], n[kept]])
+            u, v, n = u[kept], v[kept], n[kept]
+            context, pairs = np.unique(u, return_counts=True)
+            save(f"{folder}/counts-{shard}", [context, _small(pairs), _tight(v), np.minimum(n, 255).astype(np.uint8), n[n >= 255]])
             row[2] = int(kept.sum())
     yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *[pa.array([r[i] for r in rows.values()], pa.int64()) for i in range(3)]], names=["shard", "words", "tokens", "pairs"])
 
@@ -354,17 +357,18 @@ def build_pairs(batches: Iterator[pa.RecordBatch], folder: str, shards: int, pre
     """Writes the successor level of each shard from its kept pairs; gives the probability it takes from each context, as blocks."""
     begin = word_hash([BEGIN])[0]
     for shard in (s for batch in batches for s in batch.column("shard").to_pylist()):
-        u, v, n = load(f"{folder}/counts-{shard}")
-        context, first = np.unique(u, return_index=True)
-        of = np.searchsorted(context, u)
+        context, pairs, v, few, many = load(f"{folder}/counts-{shard}")
+        first = np.cumsum(pairs, dtype=np.int64) - pairs
+        of, v, n = np.repeat(np.arange(len(context)), pairs), _wide(v), few.astype(np.int64)
+        n[few == 255] = many
         total = _lookup(folder, "words", shards, context, present)
         total[context == begin] = n_docs
         q = np.minimum(np.round(-STEP * np.log10((n - DISCOUNT) / np.maximum(total, 1)[of])), 65535).astype(np.uint16)
         successor = (of.astype(np.uint64) << np.uint64(NEXT_BITS)) | v
-        pointers = np.concatenate((first, [len(u)]))
+        pointers = np.concatenate((first, [len(v)]))
         save(
             f"{folder}/pairs-{shard}",
-            [*EliasFano.stored(context, 1 << HASH_BITS), *EliasFano.stored(pointers, len(u) + 1), *EliasFano.stored(successor, max(1, len(context)) << NEXT_BITS), q],
+            [*EliasFano.stored(context, 1 << HASH_BITS), *EliasFano.stored(pointers, len(v) + 1), *EliasFano.stored(successor, max(1, len(context)) << NEXT_BITS), q],
         )
         taken = np.bincount(of, weights=10.0 ** (-q.astype(np.float64) / STEP), minlength=len(context))
         yield _block([(2, s, pack([context[part], taken[part]])) for s, part in _by(_shard(context, shards))])
@@ -437,8 +441,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
 
     Counts are added up per task, packed, and shuffled by shard once: no word
     or context has its counts in one row or one task alone, pairs of a frequent
-    word lie in all shards. A shard's pairs seen once go before anything is
-    kept. The driver gets one short row for each shard.
+    word lie in all shards. All pairs are kept. The driver gets one short row for each shard.
     """
     spark = texts.sparkSession
     texts = texts.select(F.col(text).alias("text"))

@@ -94,3 +94,15 @@ def test_held_out_texts_score_above_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = ngram.score(docs, ngram.train(docs.where(fold_of("doc_id", 7) != 2))).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert got.s > got.b
+
+
+def test_pairs_seen_once_are_known(spark):
+    train = spark.createDataFrame([("a b c",), ("d e f",), ("a b",)], "text string")
+    rows = [(1, "d e f"), (2, "d c f")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in ngram.score(docs, ngram.train(train)).collect()}
+    # counts: 8 words and 3 ends; three rows begin; no pair is dropped
+    uni, p = Counter({"a": 2, "b": 2, "c": 1, "d": 1, "e": 1, "f": 1, "</s>": 3}), lambda x: (uni[x] + 1) / 19
+    # (begin, d), (d, e), (e, f), (f, end) come once each; a context loses 0.6 for each different successor
+    want = math.log10(0.4 / 3 + 1.2 / 3 * p("d")) + sum(math.log10(0.4 + 0.6 * p(x)) for x in ("e", "f", "</s>"))
+    assert got[1] == pytest.approx(want, abs=0.01) and got[1] > got[2]
