@@ -45,7 +45,12 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replicas(spark: SparkSession, sf_dir: str, factor: int = 3) -> DataFrame:
-    """Chain members (slot, pos, node_id, state): parts are slots, each on the suppliers of its line items, by number."""
+    """Chain members (slot, pos, n, node_id, state): parts are slots, each on the suppliers of its line items, by number.
+
+    A chain is by definition the first factor + 1 suppliers, as the queries' SQL
+    has it (pos <= 3). Later ones are no members: no query sees a longer chain,
+    and they count as outsiders.
+    """
     li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("slot"), F.col("l_suppkey").alias("n"), "l_linenumber").groupBy("slot", "n").agg(F.min("l_linenumber").alias("line"))
     placed = li.withColumn("pos", F.row_number().over(W.partitionBy("slot").orderBy("line", "n")) - 1).where(F.col("pos") < factor + 1)
     state = F.when(F.col("line") == 7, "leaving").when(F.col("line") == 6, "joining").otherwise("active")
