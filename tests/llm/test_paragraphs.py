@@ -150,4 +150,4 @@ def test_passages_in_short_lines_and_of_any_length(spark, monkeypatch):
     assert {r.doc_id for r in got} == set(range(3, n + 20))
     assert {r.doc_id for r in got if not r.removed} == {*range(3, n, 3), n}
     left = {r.doc_id: len(r.text.split()) for r in P.without_repeats(docs).collect()}
-    assert left[n] == 111 and all(left[n + i] == 60 for i in range(1, 20))
+    assert sorted(left[n + i] for i in range(20)) == [60] * 19 + [111]  # the first row keeps it, and rows are in no order of ids
