@@ -1,44 +1,49 @@
 """Language-model scoring with Elias-Fano n-gram tries in memory-mapped levels.
 
-The model is an interpolated bigram model with absolute discounting over
-add-one unigrams. Its trie lies in files in the shared folder, dealt by hash
-over shards that tasks map into memory and search for whole batches at once:
-
-* words: word hashes in Elias-Fano form, with counts and quantised
-  back-off weights beside them;
-* successors: in each shard the contexts (Elias-Fano), monotone pointers
-  (Elias-Fano) into the level below, and the successors, made monotone by the
-  number of their context, so that a search is relative to it; quantised
-  log-probabilities lie beside them.
+The model is a bigram model. Relative frequencies of pairs are smoothed with
+add-one frequencies of words (Jelinek-Mercer); contexts whose counts have as
+many bits share a weight, learned from all of them. Its trie lies in files in
+the shared folder:
+
+* words, dealt by hash: word hashes in Elias-Fano form, with counts beside
+  them. The place of a word is its number;
+* pairs, dealt by hash of both numbers: contexts (Elias-Fano), monotone
+  pointers (Elias-Fano) into the level below, and successors, made monotone by
+  the place of their context, so that a search is relative to it; quantised
+  logarithms of relative frequencies lie beside them.
+
+Texts are read once, into batches of word numbers in the shared folder. A batch
+asks the owners of its words and then those of its pairs: its questions and
+their answers are shuffled by shard and back by batch, so each shard is mapped
+by the one task that owns it, however many shards there are. Questions carry
+the counts of learned texts, so an owner can build its level from them first.
 """
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from keelson.llm.common import fold_of, open_fs, shared_dir, text_slices, written
+from keelson.llm.common import fold_of, shared_dir, written
+from keelson.llm.files import load, load_compressed, pack, remove_folder, save, squeeze, unpack, widen
 
-#: No word has a space, so these are no words.
-END, BEGIN = b" </s>", b" <s>"
-#: Words and contexts have hashes of 64 bits; a successor is told apart within its context by 40.
-HASH_BITS, NEXT_BITS = 64, 40
-#: Discount of a bigram's count, least count of a bigram in the trie (others back off), steps of a power of ten in stored logarithms.
-DISCOUNT, LEAST, STEP = 0.6, 1, 4096
-#: Bytes of text for each shard of the trie, and tokens that a task counts before it hands them on.
-SHARD_BYTES, HELD = 8_000_000, 800_000
-_NEXT = np.uint64((1 << NEXT_BITS) - 1)
+#: No word has a space, so this is none.
+END = b" </s>"
+#: Share of a context's different successors that the weight of words alone counts; steps of a power of ten in stored logarithms, and what stands for none.
+DISCOUNT, STEP, NONE = 0.8, 1024, 65535
+#: Bytes of text for a shard of words and of pairs, tokens of a batch, and pairs looked up at once.
+WORD_BYTES, PAIR_BYTES, HELD, ASKED = 32_000_000, 8_000_000, 1_000_000, 200_000
+_ROW = "batch string, shard int, block binary"
 
 
 # --- Elias-Fano ---------------------------------------------------------------------------------
@@ -115,9 +120,12 @@ class EliasFano:
         """Index of each value, or -1; only places from ``begin`` to ``end`` count, if given."""
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
+        x = x.astype(np.uint64, copy=False)
         top = (x >> np.uint64(8 * self.low_bytes)).astype(np.int64)
+        inside = top < self.zeros[-1]  # beyond are values larger than any here
+        top = np.where(inside, top, 0)
         lo = np.where(top > 0, self._select(np.maximum(top - 1, 0), False) - top + 1, 0)
-        hi = self._select(top, False) - top
+        hi = np.where(inside, self._select(top, False) - top, lo)
         if begin is not None:
             lo, hi = np.maximum(lo, begin), np.minimum(hi, end)
         want = x & np.uint64((1 << 8 * self.low_bytes) - 1)
@@ -131,51 +139,7 @@ class EliasFano:
         return np.where(ok, lo, -1)
 
 
-def pack(arrays: list[np.ndarray]) -> bytes:
-    """Arrays in one block, each at a multiple of 8 bytes, behind a head of their types and lengths."""
-    head = np.array([len(arrays)] + [x for a in arrays for x in (ord(a.dtype.char), len(a))], np.int64)
-    out = io.BytesIO()
-    for a in [head, *arrays]:
-        raw = np.ascontiguousarray(a).tobytes()
-        out.write(raw + b"\0" * (-len(raw) % 8))
-    return out.getvalue()
-
-
-def unpack(buf) -> list[np.ndarray]:
-    n = int(np.frombuffer(buf, np.int64, 1)[0])
-    head = np.frombuffer(buf, np.int64, 2 * n, 8).reshape(n, 2)
-    at, out = 8 + 16 * n, []
-    for kind, size in head.tolist():
-        a = np.frombuffer(buf, np.dtype(chr(kind)), size, at)
-        out.append(a)
-        at += -(-a.nbytes // 8) * 8
-    return out
-
-
-def save(uri: str, arrays: list[np.ndarray]) -> None:
-    """Writes beside and moves into place, so that a task tried twice leaves whole files."""
-    fs, path = open_fs(uri)
-    fs.create_dir(os.path.dirname(path), recursive=True)
-    with fs.open_output_stream(f"{path}.{os.getpid()}.tmp") as out:
-        out.write(pack(arrays))
-    fs.move(f"{path}.{os.getpid()}.tmp", path)
-
-
-@lru_cache(maxsize=1024)
-def load(uri: str) -> list[np.ndarray]:
-    """Arrays of a file mapped into memory: in place if the folder is mounted, else through an unlinked copy."""
-    fs, path = open_fs(uri)
-    if uri.startswith("file:"):
-        return unpack(np.memmap(path, np.uint8, "r"))
-    with tempfile.TemporaryFile() as own:
-        with fs.open_input_stream(path) as src:
-            while block := src.read(1 << 24):
-                own.write(block)
-        own.flush()
-        return unpack(np.memmap(own, np.uint8, "r"))
-
-
-# --- tokens -------------------------------------------------------------------------------------
+# --- batches of texts ---------------------------------------------------------------------------
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -187,292 +151,384 @@ def word_hash(words: list[bytes]) -> np.ndarray:
     return np.array([h(w, 7) for w in words], np.uint64)
 
 
+_END = word_hash([END])[0]
+
+
 def _shard(a: np.ndarray, shards: int, b: np.ndarray | int = 0) -> np.ndarray:
     """Shard of a word, or of a pair: pairs of one frequent context lie in all shards."""
-    x = a * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     return ((x >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
 
-class Batch:
-    """Documents as numbers of their distinct words; each is its begin, its words and its end."""
-
-    def __init__(self) -> None:
-        self.number: defaultdict[bytes, int] = defaultdict(count(2).__next__, {BEGIN: 0, END: 1})
-        self.parts: list[np.ndarray] = []
-        self.tokens = 0
-
-    def add(self, text: str | None) -> None:
-        words = tokens_of(text)
-        ids = np.empty(len(words) + 2, np.int32)
-        ids[0], ids[-1] = 0, 1
-        ids[1:-1] = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
-        self.parts.append(ids)
-        self.tokens += len(words) + 1
+def _bits(n: np.ndarray) -> np.ndarray:
+    """Bits of counts: contexts with as many share a weight."""
+    return np.frexp(n.astype(np.float64))[1]
 
-    def close(self) -> Batch:
-        self.sizes = np.array([len(p) - 1 for p in self.parts], np.int64)
-        ids = np.concatenate(self.parts).astype(np.int64) if self.parts else np.zeros(0, np.int64)
-        self.hashes = word_hash(list(self.number))
-        self.doc = np.repeat(np.arange(len(self.parts)), self.sizes)
-        later = np.ones(len(ids), bool)
-        later[np.cumsum(self.sizes + 1) - self.sizes - 1] = False
-        at = np.flatnonzero(later)
-        self.word, self.before = ids[at], ids[at - 1]
-        self.parts.clear()
-        return self
 
-    def keys(self) -> np.ndarray:
-        return self.before * len(self.hashes) + self.word
+def _runs(key: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Values and stretches of a sorted array."""
+    cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+    for a, z in zip([0, *cuts.tolist()] if len(key) else [], [*cuts.tolist(), len(key)]):
+        yield int(key[a]), slice(a, z)
 
-    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of (before, word) of pairs."""
-        return keys // len(self.hashes), keys % len(self.hashes)
 
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary()))], names=["batch", "shard", "block"])
 
-def _merge(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    order = np.lexsort(keys[::-1])
-    keys, counts = [k[order] for k in keys], counts[order]
-    if not len(counts):
-        return keys, counts
-    new = np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
-    at = np.flatnonzero(new)
-    return [k[at] for k in keys], np.add.reduceat(counts, at)
-
-
-def _small(x: np.ndarray) -> np.ndarray:
-    most = int(x.max(initial=0))
-    return x.astype(np.uint8 if most < 1 << 8 else np.uint32 if most < 1 << 32 else np.int64)
-
-
-def _tight(h: np.ndarray) -> np.ndarray:
-    """The low 40 bits of hashes as five bytes each."""
-    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :5]).ravel()
 
+def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple]:
+    """Each key and its (other, block) of rows sorted by the key; by is batch or shard."""
+    other = "shard" if by == "batch" else "batch"
+    now, held = None, []
+    for rows in batches:
+        for key, o, block in zip(rows.column(by).to_pylist(), rows.column(other).to_pylist(), rows.column("block")):
+            if held and key != now:
+                yield now, held
+                held = []
+            now = key
+            held.append((o, block.as_py()))
+    if held:
+        yield now, held
 
-def _wide(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = raw.reshape(-1, 5)
-    return out.view(np.uint64).ravel()
 
+class Batch:
+    """Texts as numbers of their distinct words; each is its words and its end."""
 
-# --- training -----------------------------------------------------------------------------------
+    def __init__(self, name: str) -> None:
+        self.name = name
+        self.number: defaultdict[bytes, int] = defaultdict(count(1).__next__, {END: 0})
+        self.parts: list[np.ndarray] = []
+        self.learn: list[bool] = []
+        self.docs: list[pa.Table] = []
+        self.tokens = 0
 
+    def add(self, text: str | None, learn: bool) -> None:
+        words = tokens_of(text)
+        ids = np.zeros(len(words) + 1, np.int32)
+        ids[:-1] = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+        self.parts.append(ids)
+        self.learn.append(learn)
+        self.tokens += len(ids)
+
+    def close(self, folder: str, shards: int) -> pa.RecordBatch:
+        """Writes the batch, its words numbered by shard and hash; gives the questions to each shard, with counts of learned texts."""
+        sizes = np.array([len(p) for p in self.parts], np.int64)
+        h = word_hash(list(self.number))
+        shard = _shard(h, shards)
+        order = np.lexsort((h, shard))
+        place = np.empty(len(h), np.int64)
+        place[order] = np.arange(len(h))
+        stream = place[np.concatenate(self.parts)]
+        learn = np.array(self.learn, bool)
+        counts = np.bincount(stream[np.repeat(learn, sizes)], minlength=len(h))
+        docs = pa.concat_tables(self.docs).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, docs.schema) as w:
+            w.write_table(docs)
+        save(f"{folder}/batch-{self.name}", [squeeze(sizes), squeeze(stream), learn, np.frombuffer(sink.getvalue(), np.uint8)], compressed=True)
+        h, shard = h[order], shard[order]
+        return _table([(self.name, s, pack([h[at], squeeze(counts[at])])) for s, at in _runs(shard)])
+
+
+def read_texts(batches: Iterator[pa.RecordBatch], folder: str, shards: int) -> Iterator[pa.RecordBatch]:
+    """Questions about the words of rows (doc_id, held_out, learn, text)."""
+    part, names = TaskContext.get().partitionId(), count()
+    held = Batch(f"{part}-{next(names)}")
+    for rows in batches:
+        docs, first = pa.Table.from_batches([rows.select(["doc_id", "held_out"])]), 0
+        for i, (text, learn) in enumerate(zip(rows.column("text"), rows.column("learn").to_pylist())):
+            held.add(text.as_py(), learn)
+            if held.tokens >= HELD:
+                held.docs.append(docs.slice(first, i + 1 - first))
+                yield held.close(folder, shards)
+                held, first = Batch(f"{part}-{next(names)}"), i + 1
+        held.docs.append(docs.slice(first))
+    if held.tokens:
+        yield held.close(folder, shards)
 
-def _by(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each shard and the places that have it."""
-    order = np.argsort(shard, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-        if len(part):
-            yield int(shard[part[0]]), part
 
+# --- owners of shards ---------------------------------------------------------------------------
 
-def _rows(kind: int, shard: np.ndarray, arrays: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-    for s, part in _by(shard):
-        yield kind, s, pack([arrays[0][part], *[_tight(a[part]) for a in arrays[1:-1]], _small(arrays[-1][part])])
 
+def _merge(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct keys in order, their summed counts, and where each was first."""
+    order = np.lexsort(keys[::-1])
+    keys, counts = [k[order] for k in keys], counts[order]
+    if not len(counts):
+        return keys, counts, order
+    at = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))))
+    return [k[at] for k in keys], np.add.reduceat(counts, at), order[at]
 
-def _block(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "shard", "block"])
 
+def own_words(batches: Iterator[pa.RecordBatch], folder: str, build: bool) -> Iterator[pa.RecordBatch]:
+    """Answers each batch with places and counts of its words; builds the level first, if asked to.
 
-def count_blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Counts of a partition as packed blocks: kind 0 for words, 1 for pairs, dealt by shard."""
+    A row without a batch has a shard's words, tokens, and tokens of contexts by bits of their count.
+    """
+    for shard, rows in _groups(batches, "shard"):
+        blocks = [unpack(block) for _, block in rows]
+        if build:
+            h, n = np.concatenate([b[0] for b in blocks]), np.concatenate([widen(b[1]) for b in blocks])
+            (h,), n, _ = _merge([h[n > 0]], n[n > 0])
+            save(f"{folder}/words-{shard}", [*EliasFano.stored(h, 1 << 64), n])
+            before = n[h != _END]
+            yield _table([(None, shard, pack([np.array([len(n), n.sum()], np.int64), np.bincount(_bits(before), weights=before, minlength=64)]))])
+        level = load(f"{folder}/words-{shard}")
+        ef, n = (EliasFano.mapped(level[:5]), level[5]) if level else (None, None)
+        for (batch, _), (h, _) in zip(rows, blocks):
+            at = ef.find(h) if ef else np.full(len(h), -1, np.int64)
+            known = at >= 0
+            at = at[known]
+            yield _table([(batch, shard, pack([np.array([len(h)], np.int64), np.packbits(known), squeeze(np.diff(at, prepend=0)), squeeze(n[at] if ef else at)]))])
+
+
+class Words:
+    """Numbers and counts of a batch's words, those of its texts' begin at the end; and its tokens."""
+
+    def __init__(self, folder: str, batch: str, number: np.ndarray, counts: np.ndarray):
+        sizes, stream, self.learn, docs = load_compressed(f"{folder}/batch-{batch}")
+        self.number, self.counts, self.docs = number, counts, docs
+        self.sizes, self.word = widen(sizes), widen(stream)
+        self.before = np.roll(self.word, 1)
+        self.before[np.cumsum(self.sizes) - self.sizes] = len(number) - 1
+        self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.keys = self.before * len(number) + self.word
+
+    def dealt(self, keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of those sorted distinct keys of which both words are known, by shard, and their shards."""
+        u, v = self.number[keys // len(self.number)], self.number[keys % len(self.number)]
+        known = np.flatnonzero((u >= 0) & (v >= 0))
+        shard = _shard(u[known], shards, v[known]).astype(np.uint32)
+        order = np.argsort(shard, kind="stable")
+        return known[order], shard[order]
+
+
+def ask_pairs(batches: Iterator[pa.RecordBatch], folder: str, model: Model, build: bool, answer: bool) -> Iterator[pa.RecordBatch]:
+    """Questions about the pairs of each batch, from the answers about its words: contexts, their counts and successors, and counts of learned texts.
+
+    A row without a block makes sure that a batch without known pairs is not lost.
+    """
+    (first,) = load(f"{model.folder}/offsets")
+    for batch, rows in _groups(batches, "batch"):
+        number, counts = [], []
+        for shard, block in rows:
+            (n,), bits, places, c = unpack(block)
+            known = np.unpackbits(bits, count=n).astype(bool)
+            own, seen = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+            own[known], seen[known] = first[shard] + np.cumsum(widen(places)), widen(c)
+            number.append(own)
+            counts.append(seen)
+        number, counts = np.append(np.concatenate(number), model.v), np.append(np.concatenate(counts), model.docs)
+        if answer:
+            save(f"{folder}/known-{batch}", [squeeze(number + 1), squeeze(counts)], compressed=True)
+            yield _table([(batch, zlib.crc32(batch.encode()) % model.pair_shards, None)])
+        w = Words(folder, batch, number, counts)
+        keys = np.sort(w.keys * 2 + np.repeat(w.learn, w.sizes))
+        at = np.flatnonzero(np.concatenate(([True], keys[1:] >> 1 != keys[:-1] >> 1)))
+        learned, keys = np.add.reduceat(keys & 1, at), keys[at] >> 1
+        if not answer:
+            keys, learned = keys[learned > 0], learned[learned > 0]
+        mine, shard = w.dealt(keys, model.pair_shards)
+        u, v, learned = keys[mine] // len(number), number[keys[mine] % len(number)], learned[mine]
+        out = []
+        for s, at in _runs(shard):
+            x = u[at]
+            new = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+            arrays = [squeeze(np.diff(number[x[new]], prepend=0)), squeeze(np.diff(new, append=len(x))), squeeze(v[at])]
+            out.append((batch, s, pack(arrays + ([squeeze(counts[x[new]]), squeeze(learned[at])] if build else []))))
+        yield _table(out)
+
+
+class Pairs:
+    """The pair level of a shard, mapped."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.bits = np.uint64(arrays[0][0])
+        self.contexts, self.pointers, self.successors = (EliasFano.mapped(arrays[i : i + 5]) for i in (1, 6, 11))
+        self.logs = arrays[16]
 
-    def counted(b: Batch) -> pa.RecordBatch:
-        h = b.close().hashes
-        keys, n = np.unique(b.keys(), return_counts=True)
-        u, v = b.of(keys)
-        words = np.bincount(b.word, minlength=len(h))
-        kept = np.flatnonzero(words)
-        return _block([*_rows(0, _shard(h[kept], shards), [h[kept], words[kept]]), *_rows(1, _shard(h[u], shards, h[v] & _NEXT), [h[u], h[v], n])])
+    @staticmethod
+    def stored(u: np.ndarray, v: np.ndarray, n: np.ndarray, total: np.ndarray) -> list[np.ndarray]:
+        """Arrays of sorted distinct pairs with their counts and those of their contexts."""
+        first = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1]))) if len(u) else np.zeros(0, np.int64)
+        bits = max(1, int(v.max(initial=0)).bit_length())
+        of = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(first, append=len(u)))
+        logs = np.minimum(np.round(-STEP * np.log10(n / total)), NONE - 1).astype(np.uint16)
+        successors = (of << np.uint64(bits)) | v.astype(np.uint64)
+        pointers = np.append(first, len(u))
+        return [
+            np.array([bits], np.int64),
+            *EliasFano.stored(u[first], int(u.max(initial=0)) + 1),
+            *EliasFano.stored(pointers, len(u) + 1),
+            *EliasFano.stored(successors, max(1, len(first)) << bits),
+            logs,
+        ]
+
+    def find(self, context: np.ndarray, each: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Stored logarithms of the successors of each context, ``each`` of them, or NONE."""
+        if not self.contexts.n:
+            return np.full(len(successor), NONE, np.uint16)
+        at = self.contexts.find(context)
+        found = np.maximum(at, 0)
+        begin, end = (np.repeat(self.pointers.access(found + k).astype(np.int64), each) for k in (0, 1))
+        ask = np.flatnonzero(np.repeat(at >= 0, each) & (successor >> self.bits.astype(np.int64) == 0))
+        own = np.repeat(found.astype(np.uint64) << self.bits, each)
+        got = self.successors.find(own[ask] | successor[ask].astype(np.uint64), begin[ask], end[ask])
+        out = np.full(len(successor), NONE, np.uint16)
+        out[ask] = np.where(got >= 0, self.logs[got], NONE)
+        return out
 
-    held = Batch()
-    for batch in batches:
-        for t in batch.column(0):
-            held.add(t.as_py())
-            if held.tokens >= HELD:
-                yield counted(held)
-                held = Batch()
-    if held.tokens:
-        yield counted(held)
 
+def own_pairs(batches: Iterator[pa.RecordBatch], folder: str, build: bool, answer: bool) -> Iterator[pa.RecordBatch]:
+    """Answers each batch with logarithms of its pairs; builds the level first, if asked to.
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[list[np.ndarray]]]]:
-    """Blocks of rows sorted by kind and shard, a shard at a time."""
-    now, held = None, []
-    for batch in batches:
-        for kind, shard, block in zip(batch.column("kind").to_pylist(), batch.column("shard").to_pylist(), batch.column("block")):
-            if now is not None and now != (kind, shard):
-                yield *now, held
-                held = []
-            now = (kind, shard)
-            held.append(unpack(block.as_py()))
-    if now is not None:
-        yield *now, held
-
-
-def _joined(blocks: list[list[np.ndarray]], hashes: int) -> tuple[list[np.ndarray], np.ndarray]:
-    keys = [np.concatenate([b[0] for b in blocks]), *[np.concatenate([_wide(b[i]) for b in blocks]) for i in range(1, hashes)]]
-    return _merge(keys, np.concatenate([b[hashes].astype(np.int64) for b in blocks]))
-
-
-def build_counts(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Writes each shard's word level, and the pairs it keeps with their counts; gives rows (shard, words, tokens, pairs)."""
-    rows: dict[int, list[int]] = {}
-    for kind, shard, blocks in _by_shard(batches):
-        row = rows.setdefault(shard, [0, 0, 0])
-        if kind == 0:
-            (h,), n = _joined(blocks, 1)
-            save(f"{folder}/words-{shard}", [*EliasFano.stored(h, 1 << HASH_BITS), n])
-            row[:2] = [len(h), int(n.sum())]
-        else:
-            (u, v), n = _joined(blocks, 2)
-            kept = n >= LEAST
-            u, v, n = u[kept], v[kept], n[kept]
-            context, pairs = np.unique(u, return_counts=True)
-            save(f"{folder}/counts-{shard}", [context, _small(pairs), _tight(v), np.minimum(n, 255).astype(np.uint8), n[n >= 255]])
-            row[2] = int(kept.sum())
-    yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *[pa.array([r[i] for r in rows.values()], pa.int64()) for i in range(3)]], names=["shard", "words", "tokens", "pairs"])
-
-
-@lru_cache(maxsize=1024)
-def _level(uri: str) -> tuple[EliasFano, np.ndarray]:
-    *sequence, value = load(uri)
-    return EliasFano.mapped(sequence), value
-
-
-def _lookup(folder: str, level: str, shards: int, h: np.ndarray, present: frozenset[int]) -> np.ndarray:
-    """Value of each hash in a level dealt by word; 0 where it isn't there."""
-    out, shard = np.zeros(len(h), np.int64), _shard(h, shards)
-    for s, mine in _by(shard):
-        if s in present:
-            ef, value = _level(f"{folder}/{level}-{s}")
-            at = ef.find(h[mine])
-            out[mine] = np.where(at >= 0, value[np.maximum(at, 0)].astype(np.int64), 0)
-    return out
-
-
-def build_pairs(batches: Iterator[pa.RecordBatch], folder: str, shards: int, present: frozenset[int], n_docs: int) -> Iterator[pa.RecordBatch]:
-    """Writes the successor level of each shard from its kept pairs; gives the probability it takes from each context, as blocks."""
-    begin = word_hash([BEGIN])[0]
-    for shard in (s for batch in batches for s in batch.column("shard").to_pylist()):
-        context, pairs, v, few, many = load(f"{folder}/counts-{shard}")
-        first = np.cumsum(pairs, dtype=np.int64) - pairs
-        of, v, n = np.repeat(np.arange(len(context)), pairs), _wide(v), few.astype(np.int64)
-        n[few == 255] = many
-        total = _lookup(folder, "words", shards, context, present)
-        total[context == begin] = n_docs
-        q = np.minimum(np.round(-STEP * np.log10((n - DISCOUNT) / np.maximum(total, 1)[of])), 65535).astype(np.uint16)
-        successor = (of.astype(np.uint64) << np.uint64(NEXT_BITS)) | v
-        pointers = np.concatenate((first, [len(v)]))
-        save(
-            f"{folder}/pairs-{shard}",
-            [*EliasFano.stored(context, 1 << HASH_BITS), *EliasFano.stored(pointers, len(v) + 1), *EliasFano.stored(successor, max(1, len(context)) << NEXT_BITS), q],
-        )
-        taken = np.bincount(of, weights=10.0 ** (-q.astype(np.float64) / STEP), minlength=len(context))
-        yield _block([(2, s, pack([context[part], taken[part]])) for s, part in _by(_shard(context, shards))])
-
-
-def build_backoff(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Writes what is left to the words below for each context, quantised; gives the shards."""
-    for _, shard, blocks in _by_shard(batches):
-        h, taken = (np.concatenate([b[i] for b in blocks]) for i in (0, 1))
-        (h,), taken = _merge([h], taken)
-        # rounded up in size, so that a context's probabilities never sum to more than one
-        q = np.minimum(np.ceil(-STEP * np.log10(np.clip(1 - taken, 1e-6, 1)) - 1e-9), 65535).astype(np.uint16)
-        save(f"{folder}/backoff-{shard}", [*EliasFano.stored(h, 1 << HASH_BITS), q])
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], names=["shard"])
+    A row without a batch has, by bits of a context's count, a shard's different successors.
+    """
+    for shard, rows in _groups(batches, "shard"):
+        yield _table([r for r in ((batch, shard, block) for batch, block in rows) if r[2] is None])
+        rows = [(batch, [widen(a) for a in unpack(block)]) for batch, block in rows if block]
+        if not rows:
+            continue
+        context = [np.cumsum(b[0]) for _, b in rows]
+        if build:
+            u, total = (np.concatenate([np.repeat(x, b[1]) for x, (_, b) in zip(of, rows)]) for of in (context, [b[3] for _, b in rows]))
+            v, n = (np.concatenate([b[i] for _, b in rows]) for i in (2, 4))
+            learned = n > 0
+            u, v, n, total = u[learned], v[learned], n[learned], total[learned]
+            (u, v), n, at = _merge([u, v], n)
+            save(f"{folder}/pairs-{shard}", Pairs.stored(u, v, n, total[at]))
+            yield _table([(None, shard, pack([np.bincount(_bits(total[at]), minlength=64)]))])
+        if answer:
+            level = load(f"{folder}/pairs-{shard}")
+            trie = Pairs(level) if level else None
+            for x, (batch, b) in zip(context, rows):
+                parts, ends = [], np.cumsum(b[1])
+                for a, z in ((a, a + ASKED) for a in range(0, len(x), ASKED)):
+                    v = b[2][ends[a] - b[1][a] : ends[min(z, len(x)) - 1]]
+                    parts.append(trie.find(x[a:z], b[1][a:z], v) if trie else np.full(len(v), NONE, np.uint16))
+                yield _table([(batch, shard, pack([squeeze(np.concatenate(parts))]))])
+
+
+# --- scores -------------------------------------------------------------------------------------
+
+_SCORES = ["n_tokens", "n_known", "base_score", "score"]
+
+
+def score_batches(batches: Iterator[pa.RecordBatch], folder: str, model: Model) -> Iterator[pa.RecordBatch]:
+    """Scores of the texts of each batch from the answers about its pairs."""
+    for batch, rows in _groups(batches, "batch"):
+        number, counts = (widen(a) for a in load_compressed(f"{folder}/known-{batch}"))
+        w = Words(folder, batch, number - 1, counts)
+        order = np.argsort(w.keys)
+        keys = w.keys[order]
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        of, keys = np.cumsum(new) - 1, keys[new]
+        u, v = keys // len(number), keys % len(number)
+        base = np.log10((counts + 1) / (model.n + model.v + 1))
+        q = np.full(len(keys), NONE, np.int64)
+        got = [widen(unpack(block)[0]) for _, block in rows if block]
+        mine, _ = w.dealt(keys, model.pair_shards)
+        q[mine] = np.concatenate(got) if got else NONE
+        weight = np.where(counts[u] > 0, model.weights[np.minimum(_bits(counts[u]), 63)], 1.0)
+        pair = np.where(q == NONE, 0.0, 10.0 ** (-q / STEP))
+        log = np.log10((1 - weight) * pair + weight * 10.0 ** base[v])
+        n = len(w.sizes)
+        known = np.bincount(w.of, weights=counts[w.word] > 0, minlength=n).astype(np.int64)
+        scores = [w.sizes, known, np.bincount(w.of, weights=base[w.word], minlength=n), np.bincount(w.of[order], weights=log[of], minlength=n)]
+        docs = pa.ipc.open_stream(pa.py_buffer(w.docs)).read_all().combine_chunks()
+        for rows_ in docs.to_batches():
+            yield pa.RecordBatch.from_arrays([*rows_.columns, *[pa.array(x) for x in scores]], names=[*docs.schema.names, *_SCORES])
 
 
 class Model:
-    """What a task needs to score: where the levels lie, and three totals."""
-
-    def __init__(self, folder: str, shards: int, words: frozenset[int], pairs: frozenset[int], backoff: frozenset[int], n: int, v: int):
-        self.folder, self.shards, self.words, self.pairs, self.backoff, self.n, self.v = folder, shards, words, pairs, backoff, n, v
-
-    def _pair_logs(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Stored logarithms of pairs, or NaN for those not in the trie."""
-        v = v & _NEXT
-        out = np.full(len(u), np.nan)
-        for s, mine in _by(_shard(u, self.shards, v)):
-            if s in self.pairs:
-                contexts, pointers, successors, q = _pair_level(f"{self.folder}/pairs-{s}")
-                at = contexts.find(u[mine])
-                mine, at = mine[at >= 0], at[at >= 0]
-                if len(mine):
-                    begin, end = (pointers.access(at + k).astype(np.int64) for k in (0, 1))
-                    got = successors.find((at.astype(np.uint64) << np.uint64(NEXT_BITS)) | v[mine], begin, end)
-                    hit = got >= 0
-                    out[mine[hit]] = -q[got[hit]].astype(np.float64) / STEP
-        return out
-
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, known tokens, base score and model score of each text."""
-        b, docs = Batch(), len(texts)
-        for t in texts:
-            b.add(t)
-        b.close()
-        seen = _lookup(self.folder, "words", self.shards, b.hashes, self.words)
-        base = np.log10((seen + 1) / (self.n + self.v + 1))
-        left = -_lookup(self.folder, "backoff", self.shards, b.hashes, self.backoff) / STEP
-        keys, place = np.unique(b.keys(), return_inverse=True)
-        u, v = b.of(keys)
-        below = left[u] + base[v]
-        # a pair in the trie has a context with successors, and a word that comes as often as the pair
-        asked = np.flatnonzero((left[u] < 0) & (seen[v] >= LEAST))
-        pair = np.full(len(u), np.nan)
-        pair[asked] = self._pair_logs(b.hashes[u[asked]], b.hashes[v[asked]])
-        high = np.fmax(pair, below)
-        # both parts of the interpolation: log10(10^pair + 10^below), or what is below alone
-        log = np.where(np.isnan(pair), below, high + np.log10(10 ** (np.nan_to_num(pair, nan=-400.0) - high) + 10 ** (below - high)))
-        per = lambda x: np.bincount(b.doc, weights=x, minlength=docs)
-        return b.sizes, per(seen[b.word] > 0).astype(np.int64), per(base[b.word]), per(log[place])
-
-
-@lru_cache(maxsize=1024)
-def _pair_level(uri: str) -> tuple[EliasFano, EliasFano, EliasFano, np.ndarray]:
-    a = load(uri)
-    return (*[EliasFano.mapped(a[i : i + 5]) for i in (0, 5, 10)], a[15])
+    """What tasks need to ask for scores: where the levels lie, how many shards they have, totals and weights."""
+
+    def __init__(self, folder: str, size: int, docs: int):
+        self.folder, self.docs, self.n, self.v = folder, docs, 0, 0
+        self.word_shards, self.pair_shards = max(1, -(-size // WORD_BYTES)), max(1, -(-size // PAIR_BYTES))
+        #: by bits of a context's count, the weight of words alone
+        self.weights = np.ones(64)
+
+    def numbered(self, rows: list[tuple[int, bytes]]) -> np.ndarray:
+        """Takes the totals of the word shards; where each one's numbers begin is written. Gives tokens by bits."""
+        words, tokens = np.zeros(self.word_shards + 1, np.int64), np.zeros(64)
+        for shard, block in rows:
+            (words[shard + 1], n), by_bits = unpack(block)
+            self.n += int(n)
+            tokens += by_bits
+        save(f"{self.folder}/offsets", [np.cumsum(words)])
+        self.v = int(words.sum())
+        return tokens
+
+
+def _model(texts: DataFrame) -> Model:
+    size, docs = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    return Model(shared_dir(texts.sparkSession, "trie"), size, docs)
+
+
+def _flow(rows: DataFrame, model: Model, build: bool, answer: bool) -> DataFrame | None:
+    """Builds the model of rows (doc_id, held_out, learn, text) with learn, and scores all rows, or one of these."""
+    folder = shared_dir(rows.sparkSession, "batches")
+    by_shard = lambda df, n: df.repartition(n, "shard").sortWithinPartitions("shard")
+    by_batch = lambda df: df.repartition("batch").sortWithinPartitions("batch", "shard")
+    asked = by_shard(rows.mapInArrow(lambda it: read_texts(it, folder, model.word_shards), _ROW), model.word_shards)
+    told = asked.mapInArrow(lambda it: own_words(it, model.folder, build), _ROW)
+    if build:  # totals come first
+        told = written(told, "told", "zstd")
+        tokens = model.numbered([(r.shard, bytes(r.block)) for r in told.where("batch is null").toLocalIterator()])
+    pairs = by_shard(by_batch(told.where("batch is not null")).mapInArrow(lambda it: ask_pairs(it, folder, model, build, answer), _ROW), model.pair_shards)
+    told = pairs.mapInArrow(lambda it: own_pairs(it, model.folder, build, answer), _ROW)
+    if build:
+        told = written(told, "told", "zstd")
+        different = np.zeros(64)
+        for r in told.where("batch is null").toLocalIterator():
+            different += unpack(bytes(r.block))[0]
+        tokens[_bits(np.array([model.docs]))] += model.docs  # those of the begin
+        model.weights = np.minimum(np.where(tokens > 0, DISCOUNT * different / np.maximum(tokens, 1), 1.0), 0.999)
+    if not answer:
+        remove_folder(folder)
+        return None
+    kinds = zip(_SCORES, (T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()))
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *[T.StructField(c, t) for c, t in kinds]])
+    return by_batch(told.where("batch is not null")).mapInArrow(lambda it: score_batches(it, folder, model), schema)
 
 
 def train(texts: DataFrame, text: str = "text") -> Model:
     """The model of all rows of ``texts``; its size and its shards grow with them.
 
-    Counts are added up per task, packed, and shuffled by shard once: no word
-    or context has its counts in one row or one task alone, pairs of a frequent
-    word lie in all shards. All pairs are kept. The driver gets one short row for each shard.
+    All words and all pairs are kept, each under its own number. No word or
+    context has its counts in one row or one task alone: a batch adds up its
+    own, and pairs of a frequent word lie in all shards. The driver gets two
+    short rows for each shard. Rows must come in the same order if they are
+    read again, as those of tables do.
     """
-    spark = texts.sparkSession
-    texts = texts.select(F.col(text).alias("text"))
-    size, n_docs = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    shards = max(1, -(-size // SHARD_BYTES))
-    folder = shared_dir(spark, "trie")
-    tasks = min(shards, 4096)
-    blocks = texts.mapInArrow(lambda it: count_blocks(it, shards), "kind int, shard int, block binary")
-    made = written(blocks.repartition(tasks, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lambda it: build_counts(it, folder), "shard int, words bigint, tokens bigint, pairs bigint"), "counts")
-    rows = made.toArrow().to_pydict()
-    words = frozenset(s for s, n in zip(rows["shard"], rows["words"]) if n)
-    pairs = frozenset(s for s, n in zip(rows["shard"], rows["pairs"]) if n)
-    kept = made.where("pairs > 0").select("shard").repartition(tasks, "shard")
-    mass = kept.mapInArrow(lambda it: build_pairs(it, folder, shards, words, n_docs), "kind int, shard int, block binary")
-    left = mass.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(lambda it: build_backoff(it, folder), "shard int")
-    return Model(folder, shards, words, pairs, frozenset(left.toArrow().to_pydict()["shard"]), sum(rows["tokens"]), sum(rows["words"]))
+    rows = texts.select(F.lit(0).alias("doc_id"), F.lit(False).alias("held_out"), F.lit(True).alias("learn"), F.col(text).alias("text"))
+    model = _model(rows)
+    _flow(rows, model, True, False)
+    return model
+
+
+def _scored(docs: DataFrame, learn: Column, doc_id: str, text: str, folds: int, held: int) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), (fold_of(doc_id, folds) == held).alias("held_out"), learn.alias("learn"), F.col(text).alias("text"))
+
+
+def _named(found: DataFrame, model: Model) -> DataFrame:
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text, without a shuffle.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
 
     Null and empty texts are one token, the end. A null id is in fold 0.
-    A model of no rows gives every token the same chance.
+    A model of no rows gives every token the same chance. Repeated rows stay
+    repeated; other columns are not read.
     """
-    kind = "struct<n_tokens: bigint, n_known: bigint, base_score: double, score: double>"
+    return _named(_flow(_scored(docs, F.lit(False), doc_id, text, folds, held), model, False, True), model)
 
-    @F.arrow_udf(kind)
-    def scan(col: pa.Array) -> pa.Array:
-        parts = [model.score(texts) for _, texts in text_slices(col, 3_000_000)]
-        cols = [pa.array(np.concatenate(c)) for c in zip(*parts)] if parts else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-        return pa.StructArray.from_arrays(cols, names=["n_tokens", "n_known", "base_score", "score"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), (fold_of(doc_id, folds) == held).alias("held_out"), scan(F.col(text)).alias("s"))
-    return rows.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "s.base_score", "s.score")
+def cross_scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
+    """As ``score`` by the model of the rows outside fold ``held``: what ``train`` and ``score`` give, reading the texts once."""
+    rows = _scored(docs, fold_of(doc_id, folds) != held, doc_id, text, folds, held)
+    model = _model(rows.where("learn"))
+    return _named(_flow(rows, model, True, True), model)

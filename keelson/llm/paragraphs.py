@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from keelson.llm.common import open_fs, shared_dir, text_slices, written
 from keelson.llm.components import components
-from keelson.llm.ngram import load, save
+from keelson.llm.files import load, save
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
@@ -289,6 +289,9 @@ def build_segments(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[p
     yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int64())], names=["segment"])
 
 
+_segment = lru_cache(maxsize=1024)(load)
+
+
 def _is_shared(keys: np.ndarray, folder: str, size: int, present: frozenset[int]) -> np.ndarray:
     """Whether several rows may have each anchor; a few that one row alone has are taken too."""
     at = (keys & np.uint64(size - 1)).astype(np.int64)
@@ -298,7 +301,7 @@ def _is_shared(keys: np.ndarray, folder: str, size: int, present: frozenset[int]
     for part in np.split(order, np.flatnonzero(np.diff(seg[order])) + 1):
         if len(part) and int(seg[part[0]]) in present:
             x = place[part]
-            out[part] = load(f"{folder}/anchors-{seg[part[0]]}")[0][x >> 3] >> (x & 7) & 1
+            out[part] = _segment(f"{folder}/anchors-{seg[part[0]]}")[0][x >> 3] >> (x & 7) & 1
     return out
 
 

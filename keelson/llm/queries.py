@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import decontam, langid, media, mixing, ngram, paragraphs, pii, quality, simhash, warc
-from keelson.llm.common import fold_of, table
+from keelson.llm.common import table
 
 
 def op1_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +34,8 @@ def op4_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigram scores of every document by a trie of six folds of seven; nulls and empties as in ``ngram.score``."""
-    docs = table(spark, sf_dir, "documents")
-    return ngram.score(docs, ngram.train(docs.where(fold_of("doc_id", 7) != 2)))
+    """Bigram scores of every document by a trie of six folds of seven; smoothed by add-one words; nulls and empties as in ``ngram.score``."""
+    return ngram.cross_scored(table(spark, sf_dir, "documents"))
 
 
 def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
