@@ -1,4 +1,8 @@
-"""Arrays in files of the shared folder: written whole, mapped into memory where they are read."""
+"""Arrays in files of the shared folder, written whole and mapped into memory where they are read; and rows of such blocks.
+
+Batches of texts ask the owners of shards and are answered: rows (batch, shard,
+block) are shuffled by shard, and their answers back by batch.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,12 @@ import io
 import mmap
 import os
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark.sql import DataFrame
 
 from keelson.llm.common import open_fs
 
@@ -103,3 +109,60 @@ def remove_folder(uri: str) -> None:
     fs, path = open_fs(uri)
     if fs.get_file_info(path).type == pafs.FileType.Directory:
         fs.delete_dir(path)
+
+
+# --- rows of blocks -----------------------------------------------------------------------------
+
+ROW = "batch string, shard int, block binary"
+
+
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary()))], names=["batch", "shard", "block"])
+
+
+def groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple]:
+    """Each key and its (other, block) of rows sorted by the key; by is batch or shard."""
+    other = "shard" if by == "batch" else "batch"
+    now, held = None, []
+    for rows in batches:
+        for key, o, block in zip(rows.column(by).to_pylist(), rows.column(other).to_pylist(), rows.column("block")):
+            if held and key != now:
+                yield now, held
+                held = []
+            now = key
+            held.append((o, block.as_py()))
+    if held:
+        yield now, held
+
+
+def stretches(key: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Values and stretches of a sorted array."""
+    cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+    for a, z in zip([0, *cuts.tolist()] if len(key) else [], [*cuts.tolist(), len(key)]):
+        yield int(key[a]), slice(a, z)
+
+
+def shard_of(a: np.ndarray, shards: int, b: np.ndarray | int = 0) -> np.ndarray:
+    x = a.astype(np.uint64, copy=False) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+
+
+def by_shard(rows: DataFrame, shards: int) -> DataFrame:
+    """One task for each shard, its rows together."""
+    return rows.repartitionById(shards, "shard").sortWithinPartitions("shard")
+
+
+def by_batch(rows: DataFrame) -> DataFrame:
+    return rows.repartition("batch").sortWithinPartitions("batch", "shard")
+
+
+def as_bytes(table: pa.Table) -> np.ndarray:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return np.frombuffer(sink.getvalue(), np.uint8)
+
+
+def as_table(raw: np.ndarray) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(raw)).read_all().combine_chunks()

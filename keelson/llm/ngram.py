@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.llm.common import fold_of, shared_dir, written
-from keelson.llm.files import load, load_compressed, pack, remove_folder, save, squeeze, unpack, widen
+from keelson.llm.files import ROW, as_bytes, as_table, by_batch, by_shard, groups, load, load_compressed, pack, remove_folder, rows_of, save, shard_of, squeeze, stretches, unpack, widen
 
 #: No word has a space, so this is none.
 END = b" </s>"
@@ -43,7 +43,6 @@ END = b" </s>"
 DISCOUNT, STEP, NONE = 0.8, 1024, 65535
 #: Bytes of text for a shard of words and of pairs, tokens of a batch, and pairs looked up at once.
 WORD_BYTES, PAIR_BYTES, HELD, ASKED = 32_000_000, 8_000_000, 1_000_000, 200_000
-_ROW = "batch string, shard int, block binary"
 
 
 # --- Elias-Fano ---------------------------------------------------------------------------------
@@ -154,44 +153,11 @@ def word_hash(words: list[bytes]) -> np.ndarray:
 _END = word_hash([END])[0]
 
 
-def _shard(a: np.ndarray, shards: int, b: np.ndarray | int = 0) -> np.ndarray:
-    """Shard of a word, or of a pair: pairs of one frequent context lie in all shards."""
-    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return ((x >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-
-
 def _bits(n: np.ndarray) -> np.ndarray:
     """Bits of counts: contexts with as many share a weight."""
     return np.frexp(n.astype(np.float64))[1]
 
 
-def _runs(key: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """Values and stretches of a sorted array."""
-    cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-    for a, z in zip([0, *cuts.tolist()] if len(key) else [], [*cuts.tolist(), len(key)]):
-        yield int(key[a]), slice(a, z)
-
-
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary()))], names=["batch", "shard", "block"])
-
-
-def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple]:
-    """Each key and its (other, block) of rows sorted by the key; by is batch or shard."""
-    other = "shard" if by == "batch" else "batch"
-    now, held = None, []
-    for rows in batches:
-        for key, o, block in zip(rows.column(by).to_pylist(), rows.column(other).to_pylist(), rows.column("block")):
-            if held and key != now:
-                yield now, held
-                held = []
-            now = key
-            held.append((o, block.as_py()))
-    if held:
-        yield now, held
-
-
 class Batch:
     """Texts as numbers of their distinct words; each is its words and its end."""
 
@@ -215,7 +181,7 @@ class Batch:
         """Writes the batch, its words numbered by shard and hash; gives the questions to each shard, with counts of learned texts."""
         sizes = np.array([len(p) for p in self.parts], np.int64)
         h = word_hash(list(self.number))
-        shard = _shard(h, shards)
+        shard = shard_of(h, shards)
         order = np.lexsort((h, shard))
         place = np.empty(len(h), np.int64)
         place[order] = np.arange(len(h))
@@ -223,12 +189,9 @@ class Batch:
         learn = np.array(self.learn, bool)
         counts = np.bincount(stream[np.repeat(learn, sizes)], minlength=len(h))
         docs = pa.concat_tables(self.docs).combine_chunks()
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, docs.schema) as w:
-            w.write_table(docs)
-        save(f"{folder}/batch-{self.name}", [squeeze(sizes), squeeze(stream), learn, np.frombuffer(sink.getvalue(), np.uint8)], compressed=True)
+        save(f"{folder}/batch-{self.name}", [squeeze(sizes), squeeze(stream), learn, as_bytes(docs)], compressed=True)
         h, shard = h[order], shard[order]
-        return _table([(self.name, s, pack([h[at], squeeze(counts[at])])) for s, at in _runs(shard)])
+        return rows_of([(self.name, s, pack([h[at], squeeze(counts[at])])) for s, at in stretches(shard)])
 
 
 def read_texts(batches: Iterator[pa.RecordBatch], folder: str, shards: int) -> Iterator[pa.RecordBatch]:
@@ -266,21 +229,21 @@ def own_words(batches: Iterator[pa.RecordBatch], folder: str, build: bool) -> It
 
     A row without a batch has a shard's words, tokens, and tokens of contexts by bits of their count.
     """
-    for shard, rows in _groups(batches, "shard"):
+    for shard, rows in groups(batches, "shard"):
         blocks = [unpack(block) for _, block in rows]
         if build:
             h, n = np.concatenate([b[0] for b in blocks]), np.concatenate([widen(b[1]) for b in blocks])
             (h,), n, _ = _merge([h[n > 0]], n[n > 0])
             save(f"{folder}/words-{shard}", [*EliasFano.stored(h, 1 << 64), n])
             before = n[h != _END]
-            yield _table([(None, shard, pack([np.array([len(n), n.sum()], np.int64), np.bincount(_bits(before), weights=before, minlength=64)]))])
+            yield rows_of([(None, shard, pack([np.array([len(n), n.sum()], np.int64), np.bincount(_bits(before), weights=before, minlength=64)]))])
         level = load(f"{folder}/words-{shard}")
         ef, n = (EliasFano.mapped(level[:5]), level[5]) if level else (None, None)
         for (batch, _), (h, _) in zip(rows, blocks):
             at = ef.find(h) if ef else np.full(len(h), -1, np.int64)
             known = at >= 0
             at = at[known]
-            yield _table([(batch, shard, pack([np.array([len(h)], np.int64), np.packbits(known), squeeze(np.diff(at, prepend=0)), squeeze(n[at] if ef else at)]))])
+            yield rows_of([(batch, shard, pack([np.array([len(h)], np.int64), np.packbits(known), squeeze(np.diff(at, prepend=0)), squeeze(n[at] if ef else at)]))])
 
 
 class Words:
@@ -299,7 +262,7 @@ class Words:
         """Places of those sorted distinct keys of which both words are known, by shard, and their shards."""
         u, v = self.number[keys // len(self.number)], self.number[keys % len(self.number)]
         known = np.flatnonzero((u >= 0) & (v >= 0))
-        shard = _shard(u[known], shards, v[known]).astype(np.uint32)
+        shard = shard_of(u[known], shards, v[known]).astype(np.uint32)
         order = np.argsort(shard, kind="stable")
         return known[order], shard[order]
 
@@ -310,7 +273,7 @@ def ask_pairs(batches: Iterator[pa.RecordBatch], folder: str, model: Model, buil
     A row without a block makes sure that a batch without known pairs is not lost.
     """
     (first,) = load(f"{model.folder}/offsets")
-    for batch, rows in _groups(batches, "batch"):
+    for batch, rows in groups(batches, "batch"):
         number, counts = [], []
         for shard, block in rows:
             (n,), bits, places, c = unpack(block)
@@ -322,7 +285,7 @@ def ask_pairs(batches: Iterator[pa.RecordBatch], folder: str, model: Model, buil
         number, counts = np.append(np.concatenate(number), model.v), np.append(np.concatenate(counts), model.docs)
         if answer:
             save(f"{folder}/known-{batch}", [squeeze(number + 1), squeeze(counts)], compressed=True)
-            yield _table([(batch, zlib.crc32(batch.encode()) % model.pair_shards, None)])
+            yield rows_of([(batch, zlib.crc32(batch.encode()) % model.pair_shards, None)])
         w = Words(folder, batch, number, counts)
         keys = np.sort(w.keys * 2 + np.repeat(w.learn, w.sizes))
         at = np.flatnonzero(np.concatenate(([True], keys[1:] >> 1 != keys[:-1] >> 1)))
@@ -332,12 +295,12 @@ def ask_pairs(batches: Iterator[pa.RecordBatch], folder: str, model: Model, buil
         mine, shard = w.dealt(keys, model.pair_shards)
         u, v, learned = keys[mine] // len(number), number[keys[mine] % len(number)], learned[mine]
         out = []
-        for s, at in _runs(shard):
+        for s, at in stretches(shard):
             x = u[at]
             new = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
             arrays = [squeeze(np.diff(number[x[new]], prepend=0)), squeeze(np.diff(new, append=len(x))), squeeze(v[at])]
             out.append((batch, s, pack(arrays + ([squeeze(counts[x[new]]), squeeze(learned[at])] if build else []))))
-        yield _table(out)
+        yield rows_of(out)
 
 
 class Pairs:
@@ -385,8 +348,8 @@ def own_pairs(batches: Iterator[pa.RecordBatch], folder: str, build: bool, answe
 
     A row without a batch has, by bits of a context's count, a shard's different successors.
     """
-    for shard, rows in _groups(batches, "shard"):
-        yield _table([r for r in ((batch, shard, block) for batch, block in rows) if r[2] is None])
+    for shard, rows in groups(batches, "shard"):
+        yield rows_of([r for r in ((batch, shard, block) for batch, block in rows) if r[2] is None])
         rows = [(batch, [widen(a) for a in unpack(block)]) for batch, block in rows if block]
         if not rows:
             continue
@@ -398,7 +361,7 @@ def own_pairs(batches: Iterator[pa.RecordBatch], folder: str, build: bool, answe
             u, v, n, total = u[learned], v[learned], n[learned], total[learned]
             (u, v), n, at = _merge([u, v], n)
             save(f"{folder}/pairs-{shard}", Pairs.stored(u, v, n, total[at]))
-            yield _table([(None, shard, pack([np.bincount(_bits(total[at]), minlength=64)]))])
+            yield rows_of([(None, shard, pack([np.bincount(_bits(total[at]), minlength=64)]))])
         if answer:
             level = load(f"{folder}/pairs-{shard}")
             trie = Pairs(level) if level else None
@@ -407,7 +370,7 @@ def own_pairs(batches: Iterator[pa.RecordBatch], folder: str, build: bool, answe
                 for a, z in ((a, a + ASKED) for a in range(0, len(x), ASKED)):
                     v = b[2][ends[a] - b[1][a] : ends[min(z, len(x)) - 1]]
                     parts.append(trie.find(x[a:z], b[1][a:z], v) if trie else np.full(len(v), NONE, np.uint16))
-                yield _table([(batch, shard, pack([squeeze(np.concatenate(parts))]))])
+                yield rows_of([(batch, shard, pack([squeeze(np.concatenate(parts))]))])
 
 
 # --- scores -------------------------------------------------------------------------------------
@@ -417,7 +380,7 @@ _SCORES = ["n_tokens", "n_known", "base_score", "score"]
 
 def score_batches(batches: Iterator[pa.RecordBatch], folder: str, model: Model) -> Iterator[pa.RecordBatch]:
     """Scores of the texts of each batch from the answers about its pairs."""
-    for batch, rows in _groups(batches, "batch"):
+    for batch, rows in groups(batches, "batch"):
         number, counts = (widen(a) for a in load_compressed(f"{folder}/known-{batch}"))
         w = Words(folder, batch, number - 1, counts)
         order = np.argsort(w.keys)
@@ -436,7 +399,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], folder: str, model: Model)
         n = len(w.sizes)
         known = np.bincount(w.of, weights=counts[w.word] > 0, minlength=n).astype(np.int64)
         scores = [w.sizes, known, np.bincount(w.of, weights=base[w.word], minlength=n), np.bincount(w.of[order], weights=log[of], minlength=n)]
-        docs = pa.ipc.open_stream(pa.py_buffer(w.docs)).read_all().combine_chunks()
+        docs = as_table(w.docs)
         for rows_ in docs.to_batches():
             yield pa.RecordBatch.from_arrays([*rows_.columns, *[pa.array(x) for x in scores]], names=[*docs.schema.names, *_SCORES])
 
@@ -470,15 +433,13 @@ def _model(texts: DataFrame) -> Model:
 def _flow(rows: DataFrame, model: Model, build: bool, answer: bool) -> DataFrame | None:
     """Builds the model of rows (doc_id, held_out, learn, text) with learn, and scores all rows, or one of these."""
     folder = shared_dir(rows.sparkSession, "batches")
-    by_shard = lambda df, n: df.repartition(n, "shard").sortWithinPartitions("shard")
-    by_batch = lambda df: df.repartition("batch").sortWithinPartitions("batch", "shard")
-    asked = by_shard(rows.mapInArrow(lambda it: read_texts(it, folder, model.word_shards), _ROW), model.word_shards)
-    told = asked.mapInArrow(lambda it: own_words(it, model.folder, build), _ROW)
+    asked = by_shard(rows.mapInArrow(lambda it: read_texts(it, folder, model.word_shards), ROW), model.word_shards)
+    told = asked.mapInArrow(lambda it: own_words(it, model.folder, build), ROW)
     if build:  # totals come first
         told = written(told, "told", "zstd")
         tokens = model.numbered([(r.shard, bytes(r.block)) for r in told.where("batch is null").toLocalIterator()])
-    pairs = by_shard(by_batch(told.where("batch is not null")).mapInArrow(lambda it: ask_pairs(it, folder, model, build, answer), _ROW), model.pair_shards)
-    told = pairs.mapInArrow(lambda it: own_pairs(it, model.folder, build, answer), _ROW)
+    pairs = by_shard(by_batch(told.where("batch is not null")).mapInArrow(lambda it: ask_pairs(it, folder, model, build, answer), ROW), model.pair_shards)
+    told = pairs.mapInArrow(lambda it: own_pairs(it, model.folder, build, answer), ROW)
     if build:
         told = written(told, "told", "zstd")
         different = np.zeros(64)

@@ -1,53 +1,56 @@
-"""Substring dedup: MinHash banding of paragraphs, exact verification, removal by components; and all verbatim runs.
+"""Substring dedup: MinHash banding of paragraphs, exact verification, removal by components.
 
-Paragraphs are lines of a text. Those of LEAST words or more get a MinHash
+Paragraphs are, first, lines of LEAST words or more. They have a MinHash
 signature of their five-word shingles, banded for high recall (ten bands of
-three: a pair at the threshold is missed one time in 1,500). Paragraphs that
+three: a pair at the threshold is missed one time in 1,300). Paragraphs that
 collide in a band are joined, verified by exact Jaccard, and linked into
 components.
 
 A passage may also lie anywhere in the words of a text, within or across
-lines. Every LEAST words in a row (a gram) have an anchor, the ANCHOR words in
-them of the least hash, so two rows that share a gram share its anchor. Grams
-whose anchor several rows have are compared themselves, each of them, and
-those that several rows have make up the repeated runs.
+lines. So every LEAST words in a row are a paragraph too (a gram). Two of them
+that differ inside share too few shingles to be alike, so grams are alike where
+they are equal, and one band of one row finds all of these: the least hash of
+the eight-word shingles in a gram (its anchor), which its neighbours mostly
+share. Grams whose anchor several rows have are verified themselves, each of
+them, and those that several rows have make up the repeated runs.
+
+Texts are read once, into batches of word hashes in the shared folder. A batch
+asks the owners of its keys (of lines, anchors, bands and grams) which of them
+other rows have. It asks for a key once, however many of its rows have it, so a
+passage that a third of all rows share is a few rows at its owner.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as pads
 import xxhash
-from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from keelson.llm.common import open_fs, shared_dir, text_slices, written
+from keelson.llm.common import shared_dir, written
 from keelson.llm.components import components
-from keelson.llm.files import load, save
+from keelson.llm.files import ROW, as_bytes, as_table, by_batch, by_shard, groups, load_compressed, pack, rows_of, save, shard_of, squeeze, stretches, unpack, widen
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
-#: Words of a paragraph, and of a repeated run, that count as a passage; words of the anchor of a gram.
+#: Words of a paragraph, and of a repeated run, that count as a passage; words of a shingle of anchors.
 LEAST, ANCHOR = 20, 8
-#: Bits, as a power of two, of a file of the anchors that several rows have; rows of an anchor from which its grams are dealt out one by one.
-SEGMENT, HOT = 20, 256
-#: Grams that a task compares at once, and rows it hands on at once.
-HELD, HANDED = 1_000_000, 50_000
-#: Paragraphs of a band compared in one piece; larger buckets are dealt out in pairs of blocks.
+#: Words of a batch, bytes of text for each shard of keys, and rows that a task hands on at once.
+HELD, SHARD_BYTES, HANDED = 1_000_000, 16_000_000, 20_000
+#: Paragraphs of a band compared in one piece, on average; larger buckets are dealt out in pairs of blocks.
 BLOCK = 256
-#: monotonically_increasing_id has the partition above, and the row in it in so many bits.
+#: The number of a row has its partition above, and its place there in so many bits.
 PART_BITS = 33
-#: Words whose hashes a task keeps, and keys of repeated passages up to which they are broadcast (16 bytes each; 32 for runs).
-CACHE, BROADCAST = 400_000, 1_000_000
+_LARGEST = (1 << 63) - 1
 
 _RNG = np.random.default_rng(5)
 _A = (_RNG.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -55,19 +58,7 @@ _B = _RNG.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_known = _Hashes()
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    if len(_known) > CACHE:
-        _known.clear()
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+# --- hashes -------------------------------------------------------------------------------------
 
 
 def _rolled(h: np.ndarray, width: int) -> np.ndarray:
@@ -87,7 +78,7 @@ def shingles(h: np.ndarray) -> np.ndarray:
 def signatures(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For paragraphs of ``sizes`` words each (SHINGLE at least), whose words' hashes come one after the other: a number a band."""
     if not len(sizes):
-        return np.zeros((0, BANDS), np.int64)
+        return np.zeros((0, BANDS), np.uint64)
     ends = np.cumsum(sizes)
     inside = np.ones(len(h), bool)
     for k in range(1, SHINGLE):
@@ -108,26 +99,7 @@ def signatures(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     for k in range(ROWS):
         out = (out ^ rows[:, :, k]) * _MIX[k]
         out ^= out >> np.uint64(31)
-    return out.view(np.int64)
-
-
-def _key(words: list[bytes], seed: int) -> int:
-    h = xxhash.xxh3_64_intdigest(b" ".join(words), seed)
-    return h - (1 << 64) if h >> 63 else h
-
-
-_ANCHORS = T.ArrayType(T.LongType())
-_UNIT = T.StructType(
-    [
-        T.StructField("us", T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("key", T.LongType())] + [T.StructField(f"b{i}", T.LongType()) for i in range(BANDS)]))),
-        T.StructField("anchors", _ANCHORS),
-    ]
-)
-_ARROW = pa.struct([("us", pa.list_(pa.struct([("line", pa.int32()), ("end", pa.int32()), ("key", pa.int64())] + [(f"b{i}", pa.int64()) for i in range(BANDS)]))), ("anchors", pa.list_(pa.int64()))])
-
-
-def _lines(text: str) -> list[list[bytes]]:
-    return [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
+    return out
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -136,70 +108,418 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def anchored(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For texts of ``sizes`` words, whose hashes come one after the other: where grams begin, where their anchors do, and hashes of anchors and grams at every word."""
+def anchored(h: np.ndarray, of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts of ``of_text`` words, whose hashes come one after the other: where grams begin, their anchors, and the grams themselves."""
     if len(h) < LEAST:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     four = _rolled(h, 4)
     eight = _pair(four[:-4], four[4:])
     n = len(h) - LEAST + 1
-    at = np.flatnonzero(np.repeat(np.cumsum(sizes), sizes)[:n] - np.arange(n) >= LEAST)
-    least = np.lib.stride_tricks.sliding_window_view(eight, LEAST - ANCHOR + 1).argmin(axis=1)
-    return at, at + least[at], eight, _pair(_pair(eight[:n], eight[8 : 8 + n]), four[16 : 16 + n])
-
-
-def units(texts: list[str]) -> pa.Array:
-    """For each text its lines of LEAST words or more, with bands, and the anchors of its grams."""
-    split = [_lines(t) for t in texts]
-    sizes = np.array([len(words) for lines in split for words in lines], np.int64)
-    of_text = np.array([sum(map(len, lines)) for lines in split], np.int64)
-    h = _hashes([w for lines in split for words in lines for w in words])
-    long = sizes >= LEAST
-    bands = signatures(h[np.repeat(long, sizes)], sizes[long])
-    rows = [[(k, len(words), _key(words, 0)) for k, words in enumerate(lines) if len(words) >= LEAST] for lines in split]
-    flat = [r for x in rows for r in x]
-    cols = [pa.array([r[i] for r in flat], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64()))] + [pa.array(bands[:, i]) for i in range(BANDS)]
-    kind = _ARROW.field("us").type
-    us = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.StructArray.from_arrays(cols, fields=list(kind.value_type)))
-    _, at, keys, _ = anchored(h, of_text)
-    at = np.unique(at)
-    ends = np.searchsorted(at, np.concatenate(([0], np.cumsum(of_text))))
-    return pa.StructArray.from_arrays([us, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[at].view(np.int64)))], fields=list(_ARROW))
-
-
-@F.arrow_udf(_UNIT)
-def _units_of(text: pa.Array) -> pa.Array:
-    parts = [units(texts) for _, texts in text_slices(text, 1_000_000)]
-    return pa.concat_arrays(parts) if parts else pa.array([], _ARROW)
-
-
-@lru_cache(maxsize=4)
-def _asked(uri: str) -> dict[int, set[int]]:
-    """Keys of the paragraphs that are asked of each row of one part of the texts."""
-    fs, path = open_fs(uri)
-    if fs.get_file_info(path).type == pafs.FileType.NotFound:
-        return {}
-    t = pads.dataset(path, filesystem=fs, format="parquet").to_table(columns=["key", "rid"])
-    out: dict[int, set[int]] = {}
-    for key, rid in zip(t["key"].to_pylist(), t["rid"].to_pylist()):
-        out.setdefault(rid, set()).add(key)
+    at = np.flatnonzero(np.repeat(np.cumsum(of_text), of_text)[:n] - np.arange(n) >= LEAST)
+    width, least = 1, eight
+    while 2 * width <= LEAST - ANCHOR + 1:  # least of twice as many each time
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    rest = LEAST - ANCHOR + 1 - width
+    least = np.minimum(least[: len(least) - rest], least[rest:])
+    grams = _pair(_pair(eight[:n], eight[8 : 8 + n]), four[16 : 16 + n])
+    return at, least[at], grams[at]
+
+
+def line_keys(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of the words of each line, from those of all lines, one after the other."""
+    begins = np.cumsum(sizes) - sizes
+    power = np.cumprod(np.full(int(sizes.max(initial=0)), _MIX[4]), dtype=np.uint64)
+    place = np.arange(len(h)) - np.repeat(begins, sizes)
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[place], dtype=np.uint64)))
+    x = (upto[begins + sizes] - upto[begins] + sizes.astype(np.uint64)) * _MIX[0]
+    x = (x ^ (x >> np.uint64(31))) * _MIX[3]
+    return x ^ (x >> np.uint64(30))
+
+
+# --- batches of texts ---------------------------------------------------------------------------
+
+
+def _grouped(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, whether several rows have each, and the place of each entry's key; rows ascend."""
+    order = np.argsort(key, kind="stable")
+    k, r = key[order], row[order]
+    new = np.concatenate((np.ones(min(1, len(k)), bool), k[1:] != k[:-1]))
+    at = np.flatnonzero(new)
+    place = np.empty(len(k), np.int64)
+    place[order] = np.cumsum(new) - 1
+    last = np.append(at[1:], len(k))[: len(at)] - 1
+    return k[at], r[at] != r[last], place
+
+
+class Batch:
+    """Texts one after the other: their lines, the hashes of their words, and what follows from these."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        (self.first,), sizes, lines, stream, hashes, self.ord, docs = arrays
+        self.sizes, self.lines = widen(sizes), widen(lines)
+        self.h, self._docs = hashes[widen(stream)], docs
+        ends = np.concatenate(([0], np.cumsum(self.sizes)))
+        line_ends = np.cumsum(self.lines)
+        self.text_of_line = np.repeat(np.arange(len(self.lines)), self.lines)
+        self.line_in_text = np.arange(len(self.sizes)) - (line_ends - self.lines)[self.text_of_line]
+        self.words = ends[line_ends] - ends[line_ends - self.lines]  # of each text
+        self.begin = ends[line_ends - self.lines]
+        self.long = np.flatnonzero(self.sizes >= LEAST)
+        keys = line_keys(self.h, self.sizes)[self.long]
+        self.keys, self.key_several, self.key_of = _grouped(keys, self.text_of_line[self.long])
+        self.p, anchors, self.grams = anchored(self.h, self.words)
+        self.text = np.searchsorted(self.begin, self.p, side="right") - 1  # texts without words begin where the next does
+        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(anchors)), bool), (anchors[1:] != anchors[:-1]) | (self.text[1:] != self.text[:-1]))))
+        self.anchors, self.anchor_several, of = _grouped(anchors[new], self.text[new])
+        self.anchor_of = np.repeat(of, np.diff(new, append=len(anchors)))
+
+    @property
+    def docs(self) -> pa.Array:
+        return as_table(self._docs)["doc_id"].combine_chunks()
+
+    def asked(self, keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys by shard, and their shards."""
+        shard = shard_of(keys, shards).astype(np.uint32)
+        order = np.argsort(shard, kind="stable")
+        return order, shard[order]
+
+    def home_lines(self, own: np.ndarray) -> np.ndarray:
+        """Places, among the long lines, of the first ones here that have a key which ``own`` marks."""
+        _, first = np.unique(self.key_of, return_index=True)
+        return first[own]
+
+    def kept_grams(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of grams with a shared anchor: their places; of distinct ones the first, by ord and place; whether several rows have it; and each one's distinct one."""
+        at = np.flatnonzero(shared[self.anchor_of])
+        rank = np.empty(len(self.ord), np.int64)
+        rank[np.lexsort((np.arange(len(self.ord)), self.ord))] = np.arange(len(self.ord))
+        g, t = self.grams[at], self.text[at]
+        order = np.lexsort((at, rank[t], g))
+        new = np.concatenate((np.ones(min(1, len(g)), bool), g[order][1:] != g[order][:-1]))
+        of = np.empty(len(g), np.int64)
+        of[order] = np.cumsum(new) - 1
+        begin = np.flatnonzero(new)
+        last = np.append(begin[1:], len(g))[: len(begin)] - 1
+        several = t[order[begin]] != t[order[last]]
+        first = order[begin]
+        # by place, so that neighbours in a text stay together
+        by_place = np.argsort(first)
+        where = np.empty(len(first), np.int64)
+        where[by_place] = np.arange(len(first))
+        return at, at[first[by_place]], several[by_place], where[of]
+
+
+class _Reader:
+    def __init__(self, name: str, first: int) -> None:
+        self.name, self.first = name, first
+        self.number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.parts: list[np.ndarray] = []
+        self.sizes: list[list[int]] = []
+        self.docs: list[pa.Table] = []
+        self.words = 0
+
+    def add(self, text: str | None) -> None:
+        lines = [line.split() for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
+        sizes = list(map(len, lines))
+        n = sum(sizes)
+        self.parts.append(np.fromiter(map(self.number.__getitem__, chain.from_iterable(lines)), np.int32, n))
+        self.sizes.append(sizes)
+        self.words += n + 1
+
+    def close(self, folder: str) -> Batch:
+        docs = pa.concat_tables(self.docs).combine_chunks()
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.number), np.uint64, len(self.number))
+        lines = np.array([len(x) for x in self.sizes], np.int64)
+        sizes = np.fromiter(chain.from_iterable(self.sizes), np.int64, int(lines.sum()))
+        arrays = [np.array([self.first], np.int64), squeeze(sizes), squeeze(lines), squeeze(np.concatenate(self.parts)), hashes, docs["ord"].to_numpy().astype(np.int64), as_bytes(docs.select(["doc_id"]))]
+        save(f"{folder}/batch-{self.name}", arrays, compressed=True)
+        return Batch(arrays)
+
+
+#: Questions of the two rounds go to shard 2 s + kind.
+_LINES, _ANCHORS = 0, 1
+_BANDS, _GRAMS = 0, 1
+
+
+def read_texts(batches: Iterator[pa.RecordBatch], folder: str, shards: int) -> Iterator[pa.RecordBatch]:
+    """Questions about lines and anchors of rows (doc_id, ord, text)."""
+    part, names, row = TaskContext.get().partitionId(), count(), 0
+    new = lambda: _Reader(f"{part}-{next(names)}", (part << PART_BITS) + row)
+
+    def close(held: _Reader) -> pa.RecordBatch:
+        b, out = held.close(folder), []
+        order, shard = b.asked(b.keys, shards)
+        rows = b.text_of_line[b.long[b.home_lines(np.ones(len(b.keys), bool))]]
+        for s, at in stretches(shard):
+            k = order[at]
+            out.append((held.name, 2 * s + _LINES, pack([b.keys[k], np.array([b.first], np.int64), squeeze(rows[k]), np.packbits(b.key_several[k])])))
+        order, shard = b.asked(b.anchors, shards)
+        for s, at in stretches(shard):
+            k = order[at]
+            out.append((held.name, 2 * s + _ANCHORS, pack([b.anchors[k], np.packbits(b.anchor_several[k])])))
+        # a row that makes sure that the batch goes on, even without a key
+        out.append((held.name, 2 * (part % shards), None))
+        return rows_of(out)
+
+    held = new()
+    for rows in batches:
+        docs, first = pa.Table.from_batches([rows.select(["doc_id", "ord"])]), 0
+        for i, text in enumerate(rows.column("text")):
+            held.add(text.as_py())
+            row += 1
+            if held.words >= HELD:
+                held.docs.append(docs.slice(first, i + 1 - first))
+                yield close(held)
+                held, first = new(), i + 1
+        held.docs.append(docs.slice(first))
+    if held.words:
+        yield close(held)
+
+
+# --- owners of keys -----------------------------------------------------------------------------
+
+
+def _bools(packed: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(packed, count=n).astype(bool)
+
+
+def _answers(shard: int, rows: list[tuple], sizes: list[int], *found: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each batch's own part of the flags, and then of the numbers where the first flag holds."""
+    ends = np.cumsum(sizes)
+    for (batch, _), a, z in zip(rows, ends - sizes, ends):
+        flags = [x[a:z] for x in found if x.dtype == bool]
+        numbers = [squeeze(x[a:z][flags[0]]) for x in found if x.dtype != bool]
+        yield rows_of([(batch, shard, pack([np.array([z - a], np.int64), *map(np.packbits, flags), *numbers]))])
+
+
+def _by_key(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of entries by key, then by the other columns; where keys begin in it; and entries of each key."""
+    order = np.lexsort(columns[::-1])
+    key = columns[0][order]
+    begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    return order, begin, np.diff(begin, append=len(key))
+
+
+def _spread(order: np.ndarray, size: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The value of each entry's key."""
+    out = np.empty(len(order), value.dtype)
+    out[order] = np.repeat(value, size)
     return out
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
-    """Rows (key, shingles) of those paragraphs of rows (rid, text) that are asked for, one for each key."""
-    for batch in batches:
-        out: list[tuple[int, bytes]] = []
-        for i, rid in enumerate(batch.column("rid").to_pylist()):
-            keys = _asked(f"{uri}/part={rid >> PART_BITS}").get(rid)
-            if not keys:
-                continue
-            given = set()  # a row may repeat a paragraph
-            for words in _lines(batch.column("text")[i].as_py()):
-                if len(words) >= LEAST and (key := _key(words, 0)) in keys and key not in given:
-                    given.add(key)
-                    out.append((key, np.unique(shingles(_hashes(words))).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["key", "shingles"])
+def _any(order: np.ndarray, begin: np.ndarray, flag: np.ndarray) -> np.ndarray:
+    return np.logical_or.reduceat(flag[order], begin) if len(begin) else np.zeros(0, bool)
+
+
+def own_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers of lines: whether this batch has the first, and whether several rows have it; of anchors: whether several rows have it."""
+    for shard, rows in groups(batches, "shard"):
+        yield rows_of([(batch, shard, None) for batch, block in rows if block is None])
+        rows = [(batch, unpack(block)) for batch, block in rows if block]
+        if not rows:
+            continue
+        sizes = [len(b[0]) for _, b in rows]
+        flag = np.concatenate([_bools(b[-1], n) for (_, b), n in zip(rows, sizes)])
+        keys = np.concatenate([b[0] for _, b in rows])
+        if shard % 2 == _ANCHORS:
+            order, begin, size = _by_key(keys)
+            yield from _answers(shard, rows, sizes, _spread(order, size, (size > 1) | _any(order, begin, flag)))
+        else:
+            rid = np.concatenate([b[1][0] + widen(b[2]) for _, b in rows])
+            order, begin, size = _by_key(keys, rid)
+            home = _spread(order, size, rid[order[begin]]) == rid
+            yield from _answers(shard, rows, sizes, home, _spread(order, size, (size > 1) | _any(order, begin, flag)))
+
+
+def own_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers of bands: whether several paragraphs have it, and how many; of grams: whether several rows have it, and row and place of the first."""
+    for shard, rows in groups(batches, "shard"):
+        yield rows_of([(batch, shard, None) for batch, block in rows if block is None])
+        rows = [(batch, unpack(block)) for batch, block in rows if block]
+        if not rows:
+            continue
+        sizes = [len(b[0]) for _, b in rows]
+        keys = np.concatenate([b[0] for _, b in rows])
+        if shard % 2 == _BANDS:
+            n = np.concatenate([widen(b[1]) for _, b in rows])
+            order, begin, size = _by_key(keys)
+            total = _spread(order, size, np.add.reduceat(n[order], begin) if len(begin) else n)
+            yield from _answers(shard, rows, sizes, total > 1, total)
+        else:
+            flag = np.concatenate([_bools(b[-1], n) for (_, b), n in zip(rows, sizes)])
+            text = [np.repeat(np.cumsum(widen(b[2])), widen(b[3])) for _, b in rows]
+            rid = np.concatenate([b[1][0] + t for t, (_, b) in zip(text, rows)])
+            ord_ = np.concatenate([np.repeat(b[5], widen(b[3])) for _, b in rows])
+            place = np.concatenate([widen(b[4]) for _, b in rows])
+            order, begin, size = _by_key(keys, ord_, rid, place)
+            several = (size > 1) | _any(order, begin, flag)
+            first = order[begin]
+            yield from _answers(shard, rows, sizes, *(_spread(order, size, x) for x in (several, rid[first], place[first])))
+
+
+# --- what batches make of the answers -----------------------------------------------------------
+
+
+class Told:
+    """A batch and what it was told of its keys, in the order in which it has them."""
+
+    def __init__(self, folder: str, batch: str, rows: list[tuple]):
+        self.b = Batch(load_compressed(f"{folder}/batch-{batch}"))
+        self.rows = [(shard, unpack(block)) for shard, block in rows if block]
+
+    def flags(self, kind: int, keys: np.ndarray, shards: int, n_flags: int = 1, n_numbers: int = 0) -> list[np.ndarray]:
+        """Flags of all keys, and the numbers of those whose first flag holds."""
+        mine = [b for shard, b in self.rows if shard % 2 == kind]
+        order, _ = self.b.asked(keys, shards)
+        out = []
+        for i in range(n_flags):
+            x = np.zeros(len(keys), bool)
+            x[order] = np.concatenate([_bools(b[1 + i], int(b[0][0])) for b in mine]) if mine else False
+            out.append(x)
+        at = order[out[0][order]]
+        for i in range(n_numbers):
+            x = np.zeros(len(keys), np.int64)
+            x[at] = np.concatenate([widen(b[1 + n_flags + i]) for b in mine]) if mine else 0
+            out.append(x)
+        return out
+
+
+def ask_second(batches: Iterator[pa.RecordBatch], folder: str, shards: int) -> Iterator[pa.RecordBatch]:
+    """Questions about the bands of lines that are first here, and about grams of shared anchors."""
+    for batch, rows in groups(batches, "batch"):
+        told = Told(folder, batch, rows)
+        b = told.b
+        own, several = told.flags(_LINES, b.keys, shards, 2)
+        (shared,) = told.flags(_ANCHORS, b.anchors, shards)
+        save(f"{folder}/told-{batch}", [own, several, shared], compressed=True)
+        bands, n = np.unique(bands_of(b, own), return_counts=True)
+        order, shard = b.asked(bands, shards)
+        out = []
+        for s, at in stretches(shard):
+            k = order[at]
+            out.append((batch, 2 * s + _BANDS, pack([bands[k], squeeze(n[k])])))
+        _, first, several, _ = b.kept_grams(shared)
+        order, shard = b.asked(b.grams[first], shards)
+        for s, at in stretches(shard):
+            k = order[at]
+            w = first[k]
+            t = b.text[w]
+            new = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+            texts = t[new]
+            place = b.p[w] - b.begin[t]
+            arrays = [b.grams[w], np.array([b.first], np.int64), squeeze(np.diff(texts, prepend=0)), squeeze(np.diff(new, append=len(t))), squeeze(place), b.ord[texts], np.packbits(several[k])]
+            out.append((batch, 2 * s + _GRAMS, pack(arrays)))
+        out.append((batch, 2 * (b.first % shards), None))
+        yield rows_of(out)
+
+
+def bands_of(b: Batch, own: np.ndarray) -> np.ndarray:
+    """Bands of the lines that are first here, one row each."""
+    lines = b.long[b.home_lines(own)]
+    inside = np.zeros(len(b.sizes), bool)
+    inside[lines] = True
+    order = np.argsort(lines)
+    out = np.empty((len(lines), BANDS), np.uint64)
+    out[order] = signatures(b.h[np.repeat(inside, b.sizes)], b.sizes[lines[order]])
+    return out
+
+
+def spans_of(runs: list[tuple[int, int, int, int, int]], own: int, sizes: np.ndarray) -> tuple[list[tuple], list[tuple]]:
+    """Of a row, from its stretches (first, n, home_rid, home_first, gram) by first: spans (line, first word, end word, removed, stretch) and homes (first, end, gram).
+
+    Of a gram the row that has it first keeps its first place; words of all
+    other places go, but not those that a row's own first places have too.
+    """
+    words = int(sizes.sum())
+    foreign, kept, again = (np.full(words, -1) for _ in range(3))
+    for i, (first, n, home, home_first, _) in reversed(list(enumerate(runs))):
+        (foreign if home != own else kept if home_first == first else again)[first : first + n + LEAST - 1] = i
+    label = np.where(foreign >= 0, foreign, np.where(kept >= 0, kept, again))
+    gone = (foreign >= 0) | ((kept < 0) & (again >= 0))
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    begins = np.cumsum(sizes) - sizes
+    edges = np.flatnonzero(np.concatenate(([True], (label[1:] != label[:-1]) | (gone[1:] != gone[:-1]) | (line[1:] != line[:-1]))))
+    out = []
+    for a, z in zip(edges.tolist(), [*edges[1:].tolist(), words]):
+        if label[a] >= 0:
+            k = int(line[a])
+            out.append((k, a - int(begins[k]), z - int(begins[k]), bool(gone[a]), int(label[a])))
+    return out, [(first, first + n, gram) for first, n, home, home_first, gram in runs if home == own and home_first == first]
+
+
+#: Kinds of rows that a batch makes: spans of runs; stretches of runs that are first; whole lines that others may be like; lines to be verified.
+SPAN, HOME, LINE, CANDIDATE = range(4)
+_NUMBERS = {"kind": pa.int32(), "rid": pa.int64(), "line": pa.int32(), "first": pa.int32(), "end": pa.int32(), "home_rid": pa.int64(), "home_first": pa.int32(), "key": pa.int64(), "band": pa.int64(), "part": pa.int64()}
+
+
+def find(batches: Iterator[pa.RecordBatch], folder: str, shards: int, block: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """All rows of each batch, by kind, from the answers about its bands and grams."""
+
+    def made(docs: pa.Array, n: int, kind: int, text: np.ndarray | None = None, removed: np.ndarray | None = None, sets: list[bytes] | None = None, **numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+        numbers["kind"] = np.full(n, kind)
+        given = {c: pa.array(numbers[c], t) if c in numbers else pa.nulls(n, t) for c, t in _NUMBERS.items()}
+        given["doc_id"] = docs.take(pa.array(text)) if text is not None else pa.nulls(n, docs.type)
+        given["removed"] = pa.array(removed, pa.bool_()) if removed is not None else pa.nulls(n, pa.bool_())
+        given["shingles"] = pa.array(sets, pa.binary()) if sets is not None else pa.nulls(n, pa.binary())
+        table = pa.RecordBatch.from_arrays([given[f.name].cast(f.type) for f in schema], schema=schema)
+        for at in range(0, n, HANDED):
+            yield table.slice(at, HANDED)
+
+    for batch, rows in groups(batches, "batch"):
+        told = Told(folder, batch, rows)
+        b, docs = told.b, told.b.docs
+        own, several, shared = load_compressed(f"{folder}/told-{batch}")
+        # lines
+        bands = bands_of(b, own)
+        distinct, of = np.unique(bands, return_inverse=True)
+        hit, n = told.flags(_BANDS, distinct, shards, 1, 1)
+        of = of.reshape(bands.shape)
+        lines = b.home_lines(own)
+        candidate = hit[of].any(axis=1)
+        near = np.zeros(len(b.keys), bool)
+        near[b.key_of[lines[candidate]]] = True
+        member = (several | near)[b.key_of]
+        at = b.long[member]
+        text = b.text_of_line[at]
+        yield from made(docs, len(at), LINE, text, rid=b.first + text, line=b.line_in_text[at], end=b.sizes[at], key=b.keys[b.key_of[member]].view(np.int64))
+        begins = np.cumsum(b.sizes) - b.sizes
+        out: dict[str, list] = {"key": [], "band": [], "part": [], "sets": []}
+        for i in np.flatnonzero(candidate).tolist():
+            line = b.long[lines[i]]
+            key = b.keys[b.key_of[lines[i]]]
+            s = np.unique(shingles(b.h[begins[line] : begins[line] + b.sizes[line]])).tobytes()
+            for k in of[i][hit[of[i]]].tolist():
+                blocks = -(-int(n[k]) // block)
+                me = int(key) % blocks
+                for other in range(blocks):
+                    for c, x in zip(out, (key.astype(np.int64), distinct[k].astype(np.int64), min(me, other) * blocks + max(me, other), s)):
+                        out[c].append(x)
+            if len(out["key"]) >= HANDED:
+                yield from made(docs, len(out["key"]), CANDIDATE, **out)
+                out = {c: [] for c in out}
+        yield from made(docs, len(out["key"]), CANDIDATE, **out)
+        # runs
+        at, first, _, of = b.kept_grams(shared)
+        hit, home_rid, home_first = told.flags(_GRAMS, b.grams[first], shards, 1, 2)
+        mine = hit[of]
+        at, of = at[mine], of[mine]
+        text, home, place = b.text[at], home_rid[of], home_first[of]
+        p = b.p[at] - b.begin[text]
+        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(p)), bool), (text[1:] != text[:-1]) | (p[1:] != p[:-1] + 1) | (home[1:] != home[:-1]) | (place[1:] != place[:-1] + 1))))
+        size = np.diff(new, append=len(p))
+        gram = b.grams[at].view(np.int64)
+        line_ends = np.cumsum(b.lines)
+        spans: list[tuple] = []
+        homes: list[tuple] = []
+        for t, cut_ in stretches(text[new]):
+            k = new[cut_]
+            runs = list(zip(p[k].tolist(), size[cut_].tolist(), home[k].tolist(), place[k].tolist(), gram[k].tolist()))
+            found, firsts = spans_of(runs, int(b.first) + t, b.sizes[line_ends[t] - b.lines[t] : line_ends[t]])
+            spans += [(t, line, a, z, gone, runs[i][2], runs[i][3]) for line, a, z, gone, i in found]
+            homes += [(t, *x) for x in firsts]
+        col = lambda rows, i: np.array([r[i] for r in rows], np.int64)
+        yield from made(docs, len(spans), SPAN, col(spans, 0), col(spans, 4).astype(bool), rid=b.first + col(spans, 0), line=col(spans, 1), first=col(spans, 2), end=col(spans, 3), home_rid=col(spans, 5), home_first=col(spans, 6))
+        yield from made(docs, len(homes), HOME, col(homes, 0), rid=b.first + col(homes, 0), first=col(homes, 1), end=col(homes, 2), key=col(homes, 3))
 
 
 def _alike(sets: list[np.ndarray]) -> np.ndarray:
@@ -249,261 +569,24 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def paragraph_links(lines: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b) keys of paragraphs whose links connect the same ones as all verified pairs do.
-
-    ``lines`` has key, rid and the bands, ``rows`` rid and text. Copies are one key. Only
-    paragraphs that share a band with another are read again for verification,
-    in groups of at most twice ``block``; a group gives a spanning forest, not
-    its pairs. What is asked for is written by the part of the table that has
-    it, and each task looks up its own parts' lists, so texts are not shuffled.
-    """
-    distinct = lines.groupBy("key").agg(F.min("rid").alias("rid"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
-    bands = distinct.select("key", "rid", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
-    by_band = W.partitionBy("band")
-    shared = bands.withColumn("n", F.count("*").over(by_band)).where("n > 1").withColumn("rank", F.row_number().over(by_band.orderBy("key")) - 1)
-    shared = written(shared, "shared-bands")
-    # a bucket of one block is group 0; of a larger one each row goes to all pairs of its block with another
-    me, blocks = F.floor(F.col("rank") / block), F.ceil(F.col("n") / block)
-    others = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
-    dealt = shared.select("band", "key", me.alias("me"), blocks.alias("blocks"), others.alias("other"))
-    dealt = dealt.select("band", "key", (F.least("me", "other") * F.col("blocks") + F.greatest("me", "other")).alias("part"))
-    asked = shared_dir(lines.sparkSession, "asked")
-    part = F.shiftright("rid", PART_BITS).alias("part")
-    shared.groupBy("key").agg(F.min("rid").alias("rid")).select("key", "rid", part).repartition("part").write.partitionBy("part").parquet(asked)
-    sets = written(rows.select("rid", "text").mapInArrow(lambda it: _shingle_sets(it, asked), "key bigint, shingles binary"), "shingles")
-    grouped = dealt.join(sets, "key").repartition("band", "part").sortWithinPartitions("band", "part")
-    return written(grouped.select("band", "part", "key", "shingles").mapInArrow(_verified, "a bigint, b bigint"), "paragraph-links")
-
-
-def build_segments(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Writes bits of the keys of each segment; gives the segments."""
-    bits: dict[int, np.ndarray] = {}
-    for batch in batches:
-        seg, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("segment", "place"))
-        for s in np.unique(seg).tolist():
-            x = place[seg == s]
-            np.bitwise_or.at(bits.setdefault(s, np.zeros(1 << SEGMENT - 3, np.uint8)), x >> 3, (1 << (x & 7)).astype(np.uint8))
-    for s, x in bits.items():
-        save(f"{folder}/anchors-{s}", [x])
-    yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int64())], names=["segment"])
-
-
-_segment = lru_cache(maxsize=1024)(load)
-
-
-def _is_shared(keys: np.ndarray, folder: str, size: int, present: frozenset[int]) -> np.ndarray:
-    """Whether several rows may have each anchor; a few that one row alone has are taken too."""
-    at = (keys & np.uint64(size - 1)).astype(np.int64)
-    seg, place = at >> SEGMENT, at & ((1 << SEGMENT) - 1)
-    out = np.zeros(len(keys), bool)
-    order = np.argsort(seg, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(seg[order])) + 1):
-        if len(part) and int(seg[part[0]]) in present:
-            x = place[part]
-            out[part] = _segment(f"{folder}/anchors-{seg[part[0]]}")[0][x >> 3] >> (x & 7) & 1
-    return out
-
-
-def _strings(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.Array:
-    """Binary values of stretches of 64-bit numbers that follow each other without a gap."""
-    offsets = np.concatenate((first, end[-1:])).astype(np.int32) * 8
-    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
-
-
-def _grams(batches: Iterator[pa.RecordBatch], folder: str, size: int, present: frozenset[int]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, split, rid, doc_id, first, grams) of texts (rid, doc_id, text): stretches of grams of one shared anchor.
-
-    An anchor of many rows has its grams dealt over splits, by the grams. A row
-    with key null and first -1 has the words of each line of a text with such grams.
-    """
-    hot, splits = load(f"{folder}/hot")
-    for batch in batches:
-        rid, doc = batch.column("rid").to_numpy(zero_copy_only=False), batch.column("doc_id")
-        for start, texts in text_slices(batch.column("text"), 1_000_000):
-            split = [_lines(t) for t in texts]
-            of_text = np.array([sum(map(len, lines)) for lines in split], np.int64)
-            p, at, keys, grams = anchored(_hashes([w for lines in split for words in lines for w in words]), of_text)
-            if not len(p):
-                continue
-            where, back = np.unique(at, return_inverse=True)
-            kept = _is_shared(keys[where], folder, size, present)[back]
-            p, at = p[kept], at[kept]
-            if not len(p):
-                continue
-            key, gram = keys[at].view(np.int64), grams[p]
-            part = np.zeros(len(p), np.int64)
-            if len(hot):
-                i = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-                many = hot[i] == key
-                part[many] = (gram[many] >> np.uint64(20)) % splits[i[many]].astype(np.uint64)
-            begins = np.cumsum(of_text) - of_text
-            text = np.searchsorted(begins, p, side="right") - 1
-            new = np.concatenate(([True], (p[1:] != p[:-1] + 1) | (at[1:] != at[:-1]) | (part[1:] != part[:-1]) | (text[1:] != text[:-1])))
-            first = np.flatnonzero(new)
-            end = np.append(first[1:], len(p))
-            own = text[first]
-            for lo in range(0, len(first), HANDED):
-                cut_ = slice(lo, lo + HANDED)
-                f, e, o = first[cut_], end[cut_], own[cut_]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[f]), pa.array(part[f]), pa.array(rid[start + o]), doc.take(pa.array(start + o)), pa.array((p[f] - begins[o]).astype(np.int32)), _strings(gram, f, e)],
-                    names=["key", "split", "rid", "doc_id", "first", "grams"],
-                )
-            o = np.unique(own)
-            none = pa.nulls(len(o), pa.int64())
-            sizes = [np.array([len(words) for words in split[i]], np.int32).tobytes() for i in o.tolist()]
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(rid[start + o]), doc.take(pa.array(start + o)), pa.array(np.full(len(o), -1, np.int32)), pa.array(sizes, pa.binary())], names=["key", "split", "rid", "doc_id", "first", "grams"])
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches (rid, first, n, home_rid, home_doc, home_first, gram) of grams that several rows have, of rows sorted by key, split and place."""
-
-    def found(t: pa.Table) -> pa.RecordBatch:
-        key, split, rid, first = (t[c].to_numpy() for c in ("key", "split", "rid", "first"))
-        raw = t["grams"].combine_chunks()
-        raw = pa.concat_arrays(raw.chunks) if isinstance(raw, pa.ChunkedArray) else raw
-        offsets = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, raw.offset * 4)
-        gram = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy().view(np.uint64)
-        n = np.diff(offsets) // 8
-        row = np.repeat(np.arange(len(n)), n)
-        pos = first[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
-        group = np.cumsum(np.concatenate(([False], (key[1:] != key[:-1]) | (split[1:] != split[:-1]))))[row]
-        order = np.lexsort((gram, group))
-        g, k = gram[order], group[order]
-        begin = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (k[1:] != k[:-1]))))
-        size = np.diff(np.append(begin, len(g)))
-        home = np.repeat(order[begin], size)  # the sort is stable, so the first place comes first
-        several = np.repeat(np.logical_or.reduceat(rid[row[order]] != rid[row[home]], begin), size)
-        home_of = np.empty(len(order), np.int64)
-        home_of[order] = np.where(several, home, -1)
-        at = np.flatnonzero(home_of >= 0)
-        to = home_of[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (row[at[1:]] != row[at[:-1]]) | (pos[at[1:]] != pos[at[:-1]] + 1) | (row[to[1:]] != row[to[:-1]]) | (pos[to[1:]] != pos[to[:-1]] + 1)
-        f = np.flatnonzero(new)
-        length = np.diff(np.append(f, len(at))).astype(np.int32)
-        at, to = at[f], to[f]
-        doc = t["doc_id"].combine_chunks()
-        doc = pa.concat_arrays(doc.chunks) if isinstance(doc, pa.ChunkedArray) else doc
-        own, of = pa.array(row[at]), pa.array(row[to])
-        cols = [pa.array(rid[row[at]]), doc.take(own), pa.array(pos[at].astype(np.int32)), pa.array(length), pa.array(rid[row[to]]), doc.take(of), pa.array(pos[to].astype(np.int32)), pa.array(gram[at].view(np.int64)), pa.nulls(len(at), pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=_RUN)
-
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if not len(batch):
-            continue
-        held.append(batch)
-        size += batch.column("grams").nbytes
-        if size < HELD * 8:
-            continue
-        t = pa.Table.from_batches(held)
-        key, split = t["key"].to_numpy(), t["split"].to_numpy()
-        last = np.flatnonzero((key != key[-1]) | (split != split[-1]))
-        if len(last):
-            whole = int(last[-1]) + 1
-            yield found(t.slice(0, whole))
-            t = t.slice(whole)
-        held = t.combine_chunks().to_batches()
-        size = t["grams"].nbytes
-    if held:
-        yield found(pa.Table.from_batches(held))
-
-
-_RUN = ["rid", "doc_id", "first", "n", "home_rid", "home_doc", "home_first", "gram", "sizes"]
-_SPAN = ["rid", "doc_id", "line", "first_word", "end_word", "removed", "home_rid", "home_doc", "home_first", "gram"]
-
-
-def spans_of(runs: list[tuple[int, int, int, int, int]], own: int, sizes: np.ndarray) -> tuple[list[tuple], list[tuple]]:
-    """Of a row, from its stretches (first, n, home_rid, home_first, gram) by first: spans (line, first word, end word, removed, stretch) and homes (first, end, gram).
-
-    Of a gram the row that has it first keeps its first place; words of all
-    other places go, but not those that a row's own first places have too.
-    """
-    joined: list[list[int]] = []  # first, end of grams, home_rid, home_first, gram, number
-    open_: dict[tuple[int, int], list[int]] = {}
-    for i, (first, n, home, home_first, gram) in enumerate(runs):
-        of = (home, home_first - first)
-        if of in open_ and open_[of][1] == first:
-            open_[of][1] += n
-        else:
-            open_[of] = [first, first + n, home, home_first, gram, i]
-            joined.append(open_[of])
-    words = int(sizes.sum())
-    foreign, kept, again = (np.full(words, -1) for _ in range(3))
-    for first, end, home, home_first, _, i in reversed(joined):
-        (foreign if home != own else kept if home_first == first else again)[first : end + LEAST - 1] = i
-    label = np.where(foreign >= 0, foreign, np.where(kept >= 0, kept, again))
-    gone = (foreign >= 0) | ((kept < 0) & (again >= 0))
-    line = np.repeat(np.arange(len(sizes)), sizes)
-    begins = np.cumsum(sizes) - sizes
-    edges = np.flatnonzero(np.concatenate(([True], (label[1:] != label[:-1]) | (gone[1:] != gone[:-1]) | (line[1:] != line[:-1]))))
-    out = []
-    for a, z in zip(edges.tolist(), [*edges[1:].tolist(), words]):
-        if label[a] >= 0:
-            k = int(line[a])
-            out.append((k, a - int(begins[k]), z - int(begins[k]), bool(gone[a]), int(label[a])))
-    return out, [(x[0], x[1], x[4]) for x in joined if x[2] == own and x[3] == x[0]]
-
-
-def _spans(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Spans and homes of rows sorted by rid and first, each row's line sizes first; a home has line null."""
+# --- the operator -------------------------------------------------------------------------------
 
-    def of_row(rows: list[dict]) -> list[tuple]:
-        head, rest = rows[0], rows[1:]
-        if not rest:
-            return []
-        rid, doc = head["rid"], head["doc_id"]
-        spans, homes = spans_of([(r["first"], r["n"], r["home_rid"], r["home_first"], r["gram"]) for r in rest], rid, np.frombuffer(head["sizes"], np.int32).astype(np.int64))
-        out = [(rid, doc, k, a, z, gone, rest[i]["home_rid"], rest[i]["home_doc"], rest[i]["home_first"], None) for k, a, z, gone, i in spans]
-        return out + [(rid, None, None, a, z, None, None, None, None, gram) for a, z, gram in homes]
 
-    held: list[dict] = []
-    for batch in batches:
-        out: list[tuple] = []
-        for r in batch.to_pylist():
-            if held and held[0]["rid"] != r["rid"]:
-                out += of_row(held)
-                held = []
-            held.append(r)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
-    out = of_row(held) if held else []
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
-
-
-def runs(rows: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(rid, doc_id, line, first, end, class_key, class_doc_id, removed) of every LEAST words or more in a row that several rows have.
-
-    ``rows`` has rid, doc_id and text, ``anchors`` key and rid. What several
-    rows have is noted in bits, which tasks look up as they read the texts
-    again; grams of such anchors alone are shuffled, some tens in one row.
-    """
-    spark = rows.sparkSession
-    folder = shared_dir(spark, "anchors")
-    several = anchors.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-    several = written(several, "shared-anchors")
-    size = 1 << max(SEGMENT, (8 * several.count()).bit_length())
-    place = several.select(F.col("key").bitwiseAND(size - 1).alias("at")).select(F.shiftright("at", SEGMENT).alias("segment"), F.col("at").bitwiseAND((1 << SEGMENT) - 1).alias("place"))
-    made = place.repartition(min(size >> SEGMENT, 4096), "segment").mapInArrow(lambda it: build_segments(it, folder), "segment bigint")
-    present = frozenset(r.segment for r in made.collect())
-    hot = several.where(F.col("n") > HOT).orderBy("key").toArrow()
-    save(f"{folder}/hot", [hot["key"].to_numpy(), hot["n"].to_numpy() // HOT + 1])
-    doc = rows.schema["doc_id"].dataType
-    kind = T.StructType([T.StructField("key", T.LongType()), T.StructField("split", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("doc_id", doc), T.StructField("first", T.IntegerType()), T.StructField("grams", T.BinaryType())])
-    grams = written(rows.select("rid", "doc_id", "text").mapInArrow(lambda it: _grams(it, folder, size, present), kind), "grams")
-    by_place = ["key", "split", F.col("doc_id").isNull(), "doc_id", "rid", "first"]
-    run_kind = T.StructType([T.StructField(c, {"doc_id": doc, "home_doc": doc, "rid": T.LongType(), "home_rid": T.LongType(), "gram": T.LongType(), "sizes": T.BinaryType()}.get(c, T.IntegerType())) for c in _RUN])
-    found = grams.where("key is not null").repartition("key", "split").sortWithinPartitions(*by_place).mapInArrow(_runs, run_kind)
-    sizes = grams.where("key is null").select("rid", "doc_id", "first", *[F.lit(None).cast(run_kind[c].dataType).alias(c) for c in _RUN[3:-1]], F.col("grams").alias("sizes"))
-    span_kind = T.StructType([T.StructField(c, {"doc_id": doc, "home_doc": doc, "rid": T.LongType(), "home_rid": T.LongType(), "gram": T.LongType(), "removed": T.BooleanType()}.get(c, T.IntegerType())) for c in _SPAN])
-    arrow = to_arrow_schema(span_kind)
-    spans = written(found.unionByName(sizes).repartition("rid").sortWithinPartitions("rid", "first").mapInArrow(lambda it: _spans(it, arrow), span_kind), "spans")
-    homes = spans.where("line is null").select(F.col("rid").alias("home_rid"), F.col("first_word").alias("from"), F.col("end_word").alias("to"), F.col("gram").alias("class_key"))
-    homes = F.broadcast(homes) if homes.count() <= BROADCAST else homes
-    out = spans.where("line is not null").drop("gram").join(homes, "home_rid").where("home_first >= from and home_first < to")
-    return out.select("rid", "doc_id", "line", F.col("first_word").alias("first"), F.col("end_word").alias("end"), "class_key", F.col("home_doc").alias("class_doc_id"), "removed")
+def _found(docs: DataFrame, doc_id: str, text: str, block: int) -> DataFrame:
+    """Rows of all kinds, of all batches."""
+    kind = docs.schema[doc_id].dataType
+    whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), (F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LARGEST)) if whole else F.lit(0).cast("bigint")).alias("ord"), F.col(text).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(1, -(-size // SHARD_BYTES))
+    folder = shared_dir(docs.sparkSession, "batches")
+    told = by_shard(rows.mapInArrow(lambda it: read_texts(it, folder, shards), ROW), 2 * shards).mapInArrow(own_first, ROW)
+    told = by_shard(by_batch(told).mapInArrow(lambda it: ask_second(it, folder, shards), ROW), 2 * shards).mapInArrow(own_second, ROW)
+    types = {"kind": T.IntegerType(), "rid": T.LongType(), "doc_id": kind, "line": T.IntegerType(), "first": T.IntegerType(), "end": T.IntegerType(), "removed": T.BooleanType(), "home_rid": T.LongType()}
+    types |= {"home_first": T.IntegerType(), "key": T.LongType(), "band": T.LongType(), "part": T.LongType(), "shingles": T.BinaryType()}
+    schema = T.StructType([T.StructField(c, t) for c, t in types.items()])
+    arrow = to_arrow_schema(schema)
+    return written(by_batch(told).mapInArrow(lambda it: find(it, folder, shards, block, arrow), schema), "found", "zstd")
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -513,32 +596,30 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block:
     first stays, by doc_id (nulls last), row and line, and the others have
     removed true. The others are the words of all verbatim runs of LEAST words
     or more that several rows have, wherever they lie, line by line; the first
-    row of a run, in the same order, keeps it. class_doc_id is the document of
-    the one that stays. Words are lower-cased runs between white space.
-    Passages repeated within one row alone are not listed. Null and empty texts
-    have no passages. rid numbers the rows of ``docs``; rows alike in all
-    columns are copies of each other.
+    row of a run, in the same order, keeps it (by row alone, if ids are no
+    whole numbers). class_doc_id is the document of the one that stays. Words
+    are lower-cased runs between white space. Passages repeated within one row
+    alone are not listed. Null and empty texts have no passages. rid numbers
+    the rows of ``docs``, which must come in the same order if they are read
+    again, as those of tables do; rows alike in all columns are copies of each
+    other.
     """
-    # rows are numbered once, and kept: a number must mean the same row whenever it is read
-    rows = written(docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text")), "texts", "zstd")
-    read = written(rows.select("doc_id", "rid", _units_of("text").alias("u")).select("doc_id", "rid", "u.us", "u.anchors"), "passages", "zstd")
-    held = read.select("doc_id", "rid", F.explode("us").alias("u")).select("doc_id", "rid", "u.*")
-    roots = components(paragraph_links(held, rows, block), "a", "b")
-    # keys that several rows have, or that link to others: most passages have no part in what follows
-    rows_of = held.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
-    rooted = rows_of.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("class_key", F.coalesce("root", "key"))
-    linked = roots.select(F.col("root").alias("key")).distinct().withColumn("has_links", F.lit(True))
-    rooted = written(rooted.join(linked, "key", "left").where("lo <> hi or root is not null or has_links").select("key", "class_key", "lo", "hi"), "keys")
-    several = rooted.groupBy("class_key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
-    found = written(rooted.select("key", "class_key").join(several.select("class_key"), "class_key"), "classes")
-    few = found.count() <= BROADCAST
-    flat = held.select("doc_id", "rid", "line", F.lit(0).alias("first"), "end", "key")
-    each = written(flat.join(F.broadcast(found) if few else found, "key"), "members")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "line", "first")
-    start = each.groupBy("class_key").agg(F.min(place).alias("start"))
-    each = each.join(start, "class_key").withColumn("removed", ~place.eqNullSafe(F.col("start")))
-    whole = each.select("rid", "doc_id", "line", "first", "end", "class_key", F.col("start.doc_id").alias("class_doc_id"), "removed", F.lit(True).alias("whole"))
-    out = whole.unionByName(runs(rows, read.select("rid", F.explode("anchors").alias("key"))).withColumn("whole", F.lit(False)))
+    found = _found(docs, doc_id, text, block)
+    of = lambda kind, *cols: found.where(F.col("kind") == kind).select(*cols)
+    pairs = of(CANDIDATE, "band", "part", "key", "shingles").repartition("band", "part").sortWithinPartitions("band", "part")
+    links = written(pairs.mapInArrow(_verified, "a bigint, b bigint"), "paragraph-links")
+    roots = components(links, "a", "b").withColumnRenamed("node", "key")
+    lines = of(LINE, "rid", "doc_id", "line", "end", "key").join(roots, "key", "left").withColumn("class_key", F.coalesce("root", "key")).drop("root", "key")
+    lines = written(lines, "lines")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "line")
+    # by itself, so that the join that follows has no part in it and its hot keys can be split
+    start = written(lines.groupBy("class_key").agg(F.min(place).alias("start"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("class_key", "start"), "starts")
+    each = lines.join(start, "class_key").withColumn("removed", ~place.eqNullSafe(F.col("start")))
+    whole = each.select("rid", "doc_id", "line", F.lit(0).alias("first"), "end", "class_key", F.col("start.doc_id").alias("class_doc_id"), "removed", F.lit(True).alias("whole"))
+    homes = of(HOME, F.col("rid").alias("home_rid"), F.col("doc_id").alias("class_doc_id"), F.col("first").alias("from"), F.col("end").alias("to"), F.col("key").alias("class_key"))
+    spans = of(SPAN, "rid", "doc_id", "line", "first", "end", "removed", "home_rid", "home_first").join(homes, "home_rid").where("home_first >= from and home_first < to")
+    runs = spans.select("rid", "doc_id", "line", "first", "end", "class_key", "class_doc_id", "removed", F.lit(False).alias("whole"))
+    out = whole.unionByName(runs)
     return out.select("rid", "doc_id", "line", F.col("first").alias("first_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("first")).alias("n_words"), F.lower(F.lpad(F.hex("class_key"), 16, "0")).alias("class_key"), "class_doc_id", "removed", "whole")
 
 
@@ -560,12 +641,12 @@ def cut(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "\n".join(out)
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the passages that ``repeats`` removes, every row and column kept."""
+def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the passages that ``repeats`` removes, every row and column kept; the first row of a passage keeps it."""
     cols = docs.columns
     held = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.monotonically_increasing_id().alias("own")), "rows")
-    found = repeats(held.select(F.struct("own").alias("id"), F.col(f"row.`{text}`").alias("text")), "id", "text")
-    gone = found.where("removed").groupBy(F.col("doc_id.own").alias("own")).agg(F.collect_list(F.struct("line", "first_word", "end_word")).alias("gone"))
+    found = repeats(held.select(F.col("own").alias("id"), F.col(f"row.`{text}`").alias("text")), "id", "text")
+    gone = found.where("removed").groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct("line", "first_word", "end_word")).alias("gone"))
 
     @F.arrow_udf(T.StringType())
     def cut_of(texts: pa.Array, spans: pa.Array) -> pa.Array:

@@ -131,8 +131,7 @@ def test_all_verbatim_runs_of_whole_texts(spark, sf, edge):
     check_runs(edge)
 
 
-def test_passages_in_short_lines_and_of_any_length(spark, monkeypatch):
-    monkeypatch.setattr(P, "HOT", 4)
+def test_passages_in_short_lines_and_of_any_length(spark):
     rng = random.Random(12)
     text = lambda n: [f"w{rng.randrange(5_000_000)}" for _ in range(n)]
     lay = lambda w, n: "\n".join(" ".join(w[a : a + n]) for a in range(0, len(w), n))
