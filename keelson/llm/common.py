@@ -20,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where the
-    setting is absent, as in tests on one machine, a temporary folder is used.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only in local
+    mode, where driver and executors are one process, a temporary folder stands
+    in for an absent setting; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="keelson-")
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base and not base.startswith("file:"):
@@ -92,4 +95,4 @@ def least_hashed(rows: DataFrame, by: str, n: int, h: str = "h") -> DataFrame:
     different = rows.groupBy(by).agg(F.approx_count_distinct(h).cast("double").alias("different"))
     share = F.least(3.0 * n / F.greatest("different", F.lit(1.0)), F.lit(1.0))
     bounds = different.select(F.col(by).alias("of"), F.when(share < 1, (share * 2.0**64 - 2.0**63).cast("bigint")).otherwise((1 << 63) - 1).alias("bound"))
-    return rows.join(F.broadcast(bounds) if bounds.count() <= 10_000 else bounds, F.col(by) == F.col("of")).where(F.col(h) <= F.col("bound")).drop("of", "bound")
+    return rows.join(bounds, F.col(by) == F.col("of")).where(F.col(h) <= F.col("bound")).drop("of", "bound")

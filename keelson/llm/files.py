@@ -114,6 +114,8 @@ def remove_folder(uri: str) -> None:
 # --- rows of blocks -----------------------------------------------------------------------------
 
 ROW = "batch string, shard int, block binary"
+#: Bytes of text for each task that works on whole batches.
+BATCH_BYTES = 8_000_000
 
 
 def rows_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -153,8 +155,9 @@ def by_shard(rows: DataFrame, shards: int) -> DataFrame:
     return rows.repartitionById(shards, "shard").sortWithinPartitions("shard")
 
 
-def by_batch(rows: DataFrame) -> DataFrame:
-    return rows.repartition("batch").sortWithinPartitions("batch", "shard")
+def by_batch(rows: DataFrame, size: int) -> DataFrame:
+    """Tasks for batches of ``size`` bytes of text in all: their blocks are small, so a task's share must not follow from bytes shuffled."""
+    return rows.repartition(max(1, -(-size // BATCH_BYTES)), "batch").sortWithinPartitions("batch", "shard")
 
 
 def as_bytes(table: pa.Table) -> np.ndarray:

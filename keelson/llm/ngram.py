@@ -425,12 +425,14 @@ class Model:
         return tokens
 
 
-def _model(texts: DataFrame) -> Model:
-    size, docs = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    return Model(shared_dir(texts.sparkSession, "trie"), size, docs)
+def _sizes(texts: DataFrame) -> tuple[int, int, int]:
+    """Bytes of all texts, bytes and number of those to learn from."""
+    bytes_ = F.coalesce(F.octet_length("text"), F.lit(0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return tuple(texts.agg(total(bytes_), total(F.when(F.col("learn"), bytes_)), total(F.col("learn").cast("bigint"))).first())
 
 
-def _flow(rows: DataFrame, model: Model, build: bool, answer: bool) -> DataFrame | None:
+def _flow(rows: DataFrame, size: int, model: Model, build: bool, answer: bool) -> DataFrame | None:
     """Builds the model of rows (doc_id, held_out, learn, text) with learn, and scores all rows, or one of these."""
     folder = shared_dir(rows.sparkSession, "batches")
     asked = by_shard(rows.mapInArrow(lambda it: read_texts(it, folder, model.word_shards), ROW), model.word_shards)
@@ -438,7 +440,7 @@ def _flow(rows: DataFrame, model: Model, build: bool, answer: bool) -> DataFrame
     if build:  # totals come first
         told = written(told, "told", "zstd")
         tokens = model.numbered([(r.shard, bytes(r.block)) for r in told.where("batch is null").toLocalIterator()])
-    pairs = by_shard(by_batch(told.where("batch is not null")).mapInArrow(lambda it: ask_pairs(it, folder, model, build, answer), ROW), model.pair_shards)
+    pairs = by_shard(by_batch(told.where("batch is not null"), size).mapInArrow(lambda it: ask_pairs(it, folder, model, build, answer), ROW), model.pair_shards)
     told = pairs.mapInArrow(lambda it: own_pairs(it, model.folder, build, answer), ROW)
     if build:
         told = written(told, "told", "zstd")
@@ -452,7 +454,7 @@ def _flow(rows: DataFrame, model: Model, build: bool, answer: bool) -> DataFrame
         return None
     kinds = zip(_SCORES, (T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *[T.StructField(c, t) for c, t in kinds]])
-    return by_batch(told.where("batch is not null")).mapInArrow(lambda it: score_batches(it, folder, model), schema)
+    return by_batch(told.where("batch is not null"), size).mapInArrow(lambda it: score_batches(it, folder, model), schema)
 
 
 def train(texts: DataFrame, text: str = "text") -> Model:
@@ -465,8 +467,9 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     read again, as those of tables do.
     """
     rows = texts.select(F.lit(0).alias("doc_id"), F.lit(False).alias("held_out"), F.lit(True).alias("learn"), F.col(text).alias("text"))
-    model = _model(rows)
-    _flow(rows, model, True, False)
+    size, learned, n_docs = _sizes(rows)
+    model = Model(shared_dir(texts.sparkSession, "trie"), learned, n_docs)
+    _flow(rows, size, model, True, False)
     return model
 
 
@@ -485,11 +488,13 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     A model of no rows gives every token the same chance. Repeated rows stay
     repeated; other columns are not read.
     """
-    return _named(_flow(_scored(docs, F.lit(False), doc_id, text, folds, held), model, False, True), model)
+    rows = _scored(docs, F.lit(False), doc_id, text, folds, held)
+    return _named(_flow(rows, _sizes(rows)[0], model, False, True), model)
 
 
 def cross_scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
     """As ``score`` by the model of the rows outside fold ``held``: what ``train`` and ``score`` give, reading the texts once."""
     rows = _scored(docs, fold_of(doc_id, folds) != held, doc_id, text, folds, held)
-    model = _model(rows.where("learn"))
-    return _named(_flow(rows, model, True, True), model)
+    size, learned, n_docs = _sizes(rows)
+    model = Model(shared_dir(docs.sparkSession, "trie"), learned, n_docs)
+    return _named(_flow(rows, size, model, True, True), model)

@@ -581,12 +581,12 @@ def _found(docs: DataFrame, doc_id: str, text: str, block: int) -> DataFrame:
     shards = max(1, -(-size // SHARD_BYTES))
     folder = shared_dir(docs.sparkSession, "batches")
     told = by_shard(rows.mapInArrow(lambda it: read_texts(it, folder, shards), ROW), 2 * shards).mapInArrow(own_first, ROW)
-    told = by_shard(by_batch(told).mapInArrow(lambda it: ask_second(it, folder, shards), ROW), 2 * shards).mapInArrow(own_second, ROW)
+    told = by_shard(by_batch(told, size).mapInArrow(lambda it: ask_second(it, folder, shards), ROW), 2 * shards).mapInArrow(own_second, ROW)
     types = {"kind": T.IntegerType(), "rid": T.LongType(), "doc_id": kind, "line": T.IntegerType(), "first": T.IntegerType(), "end": T.IntegerType(), "removed": T.BooleanType(), "home_rid": T.LongType()}
     types |= {"home_first": T.IntegerType(), "key": T.LongType(), "band": T.LongType(), "part": T.LongType(), "shingles": T.BinaryType()}
     schema = T.StructType([T.StructField(c, t) for c, t in types.items()])
     arrow = to_arrow_schema(schema)
-    return written(by_batch(told).mapInArrow(lambda it: find(it, folder, shards, block, arrow), schema), "found", "zstd")
+    return written(by_batch(told, size).mapInArrow(lambda it: find(it, folder, shards, block, arrow), schema), "found", "zstd")
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:

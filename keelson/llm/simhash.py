@@ -63,9 +63,12 @@ def fingerprint_of(text: pa.Array) -> pa.Array:
 
 def _roots(near: np.ndarray) -> np.ndarray:
     """Index of each row's smallest reachable row in a symmetric boolean matrix."""
-    label = np.arange(len(near))
+    label = np.arange(len(near), dtype=np.int32)
     while True:
-        least = np.minimum(label, np.where(near, label[None, :], len(near)).min(axis=1, initial=len(near)))
+        least = label.copy()
+        for at in range(0, len(near), 256):  # a few rows at a time: all of them would be a matrix of numbers
+            mine = slice(at, at + 256)
+            least[mine] = np.minimum(least[mine], np.where(near[mine], label[None, :], len(near)).min(axis=1, initial=len(near)))
         least = least[least]
         if (least == label).all():
             return label

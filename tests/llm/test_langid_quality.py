@@ -1,3 +1,9 @@
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from keelson.llm import langid, quality
@@ -19,16 +25,60 @@ def test_language_edges(spark, sf, edge, empty):
     assert {r.lang_pred for r in langid.identify(untaught).collect()} == {"und"}
 
 
-def test_backing_off():
-    import numpy as np
-
-    m = langid.Model(["a", "b"], {"word": 0}, [{"x": 1}, {"xy": 2}, {}, {}, {}], np.array([[-1, -2], [-3, -1], [-1, -4]], np.float32))
-    assert m.row("word").tolist() == [-1, -2]
-    assert m.row("axyb").tolist() == [-1, -4]  # its pair, not its letter
-    assert m.row("x").tolist() == [-3, -1]
-    assert m.row("q").tolist() == [0, 0]
-    words = ["word", "axyb", "q", "axyb"]
-    assert (m.rows(words) == np.stack([m.row(w) for w in words])).all()
+def slow_model(rows):
+    """Log frequencies of a word by language, from plain dictionaries of strings."""
+    counts = defaultdict(Counter)
+    for lang, text in rows:
+        for w in langid.words_of(text):
+            counts[lang, 0][w] += 1
+            b = f"<{w}>"
+            for n in range(1, langid.LONGEST + 1):
+                counts[lang, n].update(b[i : i + n] for i in range(len(b) - n + 1))
+    langs = sorted({lang for lang, _ in counts})
+    known = [set().union(*(counts[lang, n] for lang in langs)) for n in range(langid.LONGEST + 1)]
+    log = lambda lang, n, g: math.log((counts[lang, n][g] + 0.5) / (sum(counts[lang, n].values()) + 0.5 * len(known[n]) + 1))
+
+    def row(word):
+        if word in known[0]:
+            return [log(lang, 0, word) for lang in langs]
+        b = f"<{word}>"
+        for n in range(langid.LONGEST, 0, -1):
+            grams = [g for g in (b[i : i + n] for i in range(len(b) - n + 1)) if g in known[n]]
+            if grams:
+                return [sum(log(lang, n, g) for g in grams) / len(grams) for lang in langs]
+        return [0.0] * len(langs)
+
+    return langs, row
+
+
+def test_model_and_backing_off_against_dictionaries(spark, edge):
+    rows = [(i, lang, t) for i, (lang, t) in enumerate([("a", "the cat sat on the mat"), ("a", "a cat, a hat"), ("b", "der Hund und die Katze"), ("b", "\u00c4pfel 12 und \u2603"), ("c", "x"), (None, "not learned")])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    model = langid.fit(docs, folds=1_000_003)
+    langs, row = slow_model([(lang, t) for _, lang, t in rows if lang])
+    assert model.langs == langs
+    words = ["cat", "the", "cats", "hunde", "katz", "\u00e4pfel", "\u00e4", "zzz", "x", "q", "the"]
+    assert np.allclose(model.rows(words), [row(w) for w in words], atol=1e-5)
+    texts = ["the cats", "und hunde", "q", "", "12", "cat " * 500]
+    for t, (lang, score) in zip(texts, model.predict(texts)):
+        z = np.sum([row(w) for w in langid.words_of(t)] or [[0.0] * 3], axis=0)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        want = (langs[int(p.argmax())], p.max()) if langid.words_of(t) else ("und", 0.0)
+        assert lang == want[0] and score == pytest.approx(want[1], abs=1e-4)
+
+
+def test_numerals_are_no_letters(spark, edge):
+    docs = spark.createDataFrame([(1, "\u00bd"), (2, "\u00b2 \u2167 12"), (3, "x\u00b2y")], "doc_id bigint, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, langid.fit(edge)).collect()}
+    assert got == {1: "und", 2: "und", 3: "en"} and langid.words_of("x\u00b2y") == ["x", "y"]
+
+
+def test_an_id_with_several_texts_counts_once(spark):
+    docs = spark.createDataFrame([(1, f"good words {i}") for i in range(50)] + [(k, f"other text {k}") for k in range(2, 12)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 12)], "doc_id bigint, quality int")
+    model = quality.fit(docs, labels, sample=20)
+    taught = [k for k in range(1, 12) if zlib.crc32(str(k).encode()) % 5]
+    assert sorted(model.labels.tolist()) == sorted(float(k % 2) for k in taught)
 
 
 def test_rejected_documents_go(edge):
