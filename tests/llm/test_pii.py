@@ -1,5 +1,8 @@
 import hashlib
+import random
 import re
+import time
+from collections import defaultdict
 
 import pytest
 
@@ -71,3 +74,59 @@ def test_redaction(spark, edge):
     same = pii.redact(edge)
     assert same.columns == edge.columns and same.count() == edge.count()
     assert pii.redact_text("abcdef", [(0, 1, 3), (1, 2, 5)]) == "a[EMAIL]f"
+
+
+def test_patterns_propose_words_of_any_shape(spark):
+    rows = [(i, f"Some words here. Contact: +1 (411) 555-{1000 + i} thanks and more") for i in range(60)]
+    rows += [(100, "Other words. Contact: ext#77b-9 thanks"), (101, "In chapter v2.1 there is nothing"), (102, "Contact: 4five6 again")]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[100].spans == "phone:22:31" and got[100].n_phone == 0 and got[101].n_added == 0
+    assert got[102].spans == "phone:9:15"
+
+
+def slow_graph(edges, rounds=pii.ROUNDS, support=pii.SUPPORT, confidence=pii.CONFIDENCE):
+    """The pattern-instance graph from dictionaries."""
+    distinct = {}
+    for kind, seed, instance, pattern in edges:
+        distinct[kind, pattern, instance] = distinct.get((kind, pattern, instance), False) or seed
+    seeds = {(k, i) for (k, _, i), seed in distinct.items() if seed}
+    conf = {(k, i): float((k, i) in seeds) for k, _, i in distinct}
+    for _ in range(rounds):
+        by = defaultdict(list)
+        for k, p, i in distinct:
+            by[k, p].append(conf[k, i])
+        share = {kp: sum(c) / len(c) for kp, c in by.items() if sum(c) >= support}
+        miss = {}
+        for (k, p, i), seed in distinct.items():
+            if not seed and (k, p) in share:
+                miss[k, i] = miss.get((k, i), 1.0) * max(1 - share[k, p], 1e-6)
+        conf = {x: 1.0 if x in seeds else 1 - miss[x] if x in miss else 0.0 for x in conf}
+    return {x for x, c in conf.items() if x not in seeds and c >= confidence}
+
+
+def test_graph_against_dictionaries(spark):
+    rng = random.Random(8)
+    for _ in range(3):
+        edges = [(rng.randrange(2), rng.random() < 0.6, f"i{rng.randrange(60)}", f"p{int(rng.random() ** 2 * 25)}") for _ in range(500)]
+        seeds = {(k, i) for k, s, i, _ in edges if s}
+        edges = [(k, (k, i) in seeds and int(i[1:]) % 5 > 0, i, p) for k, _, i, p in edges]
+        got = pii.trusted_instances(spark.createDataFrame(edges, "kind int, seed boolean, instance string, pattern string"), support=4.0).collect()
+        want = slow_graph(edges, support=4.0)
+        assert want and {(r.kind, r.instance) for r in got} == want
+
+
+def test_free_spans_against_all_pairs():
+    rng = random.Random(1)
+    for _ in range(200):
+        taken = [(a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(8)))]
+        fast = pii._Taken(taken)
+        for a in range(70):
+            z = a + rng.randrange(1, 6)
+            assert fast.free(a, z) == (not any(x < z and a < y for x, y in taken))
+
+
+def test_a_long_text_takes_time_in_proportion():
+    text = "write to a.b@example.org or (411) 555-1507 now, ref 12ab " * 55_000
+    began = time.process_time()
+    found = pii.find(text)
+    assert len(found["base"]) == 55_000 and len(found["slots"]) == 165_000 and time.process_time() - began < 60
