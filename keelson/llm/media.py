@@ -1,10 +1,11 @@
 """Media columns: a Spark data source over directories of archives of media members.
 
 An archive is its members one after the other, then an index of them (Arrow),
-its length and a mark. Reading plans partitions as byte ranges of the archives;
-each takes the members that begin in its range, streams them as Arrow batches,
-and tries a member that fails again by itself, at its offset. Members here are
-8-bit grey images (PNG) of 576 samples a row.
+its length and a mark. A write adds a list of its archives to the directory.
+Reading plans partitions as byte ranges of all listed archives; each takes the
+members that begin in its range, streams them as Arrow batches, and tries a
+member that fails again by itself, at its offset, from a fresh handle. Members
+here are 8-bit grey images (PNG) of 576 samples a row.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import io
 import json
 import os
 import struct
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +34,8 @@ from keelson.llm.common import open_fs, shared_dir
 WIDTH = 576
 MARK = b"KEELARC1"
 INDEX = "_archives"
-#: Bytes of an archive and of a planned range, of a batch of payloads, and tries of a member.
-ARCHIVE, RANGE, BATCH, TRIES = 256 << 20, 8 << 20, 4 << 20, 3
+#: Bytes of an archive, of a planned range at least, and of a batch of payloads; tries of a member and seconds before the second; ranges that a plan has about at most.
+ARCHIVE, RANGE, BATCH, TRIES, PAUSE, PLANNED = 256 << 20, 8 << 20, 4 << 20, 3, 0.05, 20_000
 _MEMBERS = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])
 
 
@@ -108,10 +111,14 @@ class ByteRange(InputPartition):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """Each task writes archives of its own; those of tasks that are not committed are in no listing."""
+    """Each task writes archives of its own; those of tasks that are not committed are in no listing.
 
-    def __init__(self, uri: str, archive: int):
-        self.uri, self.archive = uri, archive
+    All files of one write have its name in front, so that an aborted one can
+    be cleared away. Writes to one directory add up, unless they overwrite.
+    """
+
+    def __init__(self, uri: str, archive: int, overwrite: bool = False):
+        self.uri, self.archive, self.overwrite, self.job = uri, archive, overwrite, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, base = open_fs(self.uri)
@@ -133,7 +140,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         for batch in iterator:
             for doc_id, media in zip(batch.column("doc_id").to_pylist(), batch.column("media")):
                 if out is None:
-                    name = f"{uuid.uuid4().hex}.arc"
+                    name = f"{self.job}-{uuid.uuid4().hex}.arc"
                     out = fs.open_output_stream(f"{base}/{name}")
                 media = media.as_py()
                 out.write(media)
@@ -148,14 +155,23 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, base = open_fs(self.uri)
         fs.create_dir(base, recursive=True)
-        with fs.open_output_stream(f"{base}/{INDEX}") as out:
+        before = _listings(fs, base) if self.overwrite else []
+        with fs.open_output_stream(f"{base}/{INDEX}-{self.job}.tmp") as out:
             out.write(json.dumps([a for m in messages if m for a in m.archives]).encode())
+        fs.move(f"{base}/{INDEX}-{self.job}.tmp", f"{base}/{INDEX}-{self.job}.json")
+        for path in before:
+            fs.delete_file(path)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, base = open_fs(self.uri)
-        for m in messages:
-            for name, *_ in m.archives if m else ():
-                fs.delete_file(f"{base}/{name}")
+        for info in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+            if info.base_name.startswith(f"{self.job}-"):
+                fs.delete_file(info.path)
+
+
+def _listings(fs: pafs.FileSystem, base: str) -> list[str]:
+    found = fs.get_file_info(pafs.FileSelector(base))
+    return sorted(x.path for x in found if x.base_name.startswith(f"{INDEX}-") and x.base_name.endswith(".json"))
 
 
 class ArchiveReader(DataSourceReader):
@@ -163,31 +179,32 @@ class ArchiveReader(DataSourceReader):
         self.uris, self.span, self.tries = uris, span, tries
 
     def partitions(self) -> list[ByteRange]:
-        """Byte ranges of all listed archives; the plan grows with their number, not with their members."""
-        out = []
+        """Byte ranges of all listed archives; they grow with the total, so that a plan stays short. Members have no part in it."""
+        listed: list[tuple[str, int, int]] = []
         for uri in self.uris:
             fs, base = open_fs(uri)
-            with fs.open_input_stream(f"{base}/{INDEX}") as f:
-                listed = json.loads(f.read())
-            out += [ByteRange(f"{uri}/{name}", a, min(a + self.span, data), size) for name, data, size in listed for a in range(0, data, self.span)]
+            for path in _listings(fs, base):
+                with fs.open_input_stream(path, compression=None) as f:
+                    listed += [(f"{uri}/{name}", data, size) for name, data, size in json.loads(f.read())]
+        span = max(self.span, -(-sum(data for _, data, _ in listed) // PLANNED))
+        out = [ByteRange(uri, a, min(a + span, data), size) for uri, data, size in listed for a in range(0, data, span)]
         return out or [ByteRange("", 0, 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.uri:
             return
-        fs, path = open_fs(partition.uri)
-        with fs.open_input_file(path) as f:
-            members = _again(lambda: _index(f, partition.size), self.tries)
+        with Archive(partition.uri) as f:
+            members = _again(lambda: _index(f.handle, partition.size), self.tries, f.reopen)
             begin = np.asarray(members["offset"])
             mine = members.slice(int(np.searchsorted(begin, partition.begin)), int(np.searchsorted(begin, partition.end) - np.searchsorted(begin, partition.begin)))
             rows, held = [], 0
             for m in mine.to_pylist():
                 media, error = None, None
                 try:
-                    media = _again(lambda: _member(f, m), self.tries)
+                    media = _again(lambda: _member(f.handle, m), self.tries, f.reopen)
                 except (OSError, ValueError) as e:  # this member only; the others are read
                     error = str(e)
-                rows.append({"doc_id": m["doc_id"], "archive": os.path.basename(path), "offset": m["offset"], "media": media, "error": error})
+                rows.append({"doc_id": m["doc_id"], "archive": os.path.basename(f.path), "offset": m["offset"], "media": media, "error": error})
                 held += m["length"]
                 if held >= BATCH:
                     yield pa.RecordBatch.from_pylist(rows, _READ)
@@ -196,16 +213,48 @@ class ArchiveReader(DataSourceReader):
                 yield pa.RecordBatch.from_pylist(rows, _READ)
 
 
+class Archive:
+    """An open archive whose handle can be had anew."""
+
+    def __init__(self, uri: str):
+        self.fs, self.path = open_fs(uri)
+        self._handle: pa.NativeFile | None = None
+
+    @property
+    def handle(self) -> pa.NativeFile:
+        if self._handle is None:
+            self._handle = self.fs.open_input_file(self.path)
+        return self._handle
+
+    def reopen(self) -> None:
+        """Gives the handle up; the next use opens another."""
+        old, self._handle = self._handle, None
+        if old is not None:
+            try:
+                old.close()
+            except OSError:
+                pass  # it is given up because it fails
+
+    def __enter__(self) -> Archive:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.reopen()
+
+
 _READ = pa.schema([("doc_id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("media", pa.binary()), ("error", pa.string())])
 
 
-def _again(fn, tries: int):
+def _again(fn, tries: int, between=lambda: None):
+    """``fn()``, up to ``tries`` times; before each further one ``between()``, and a pause twice as long as the last."""
     for k in range(tries):
         try:
             return fn()
         except (OSError, ValueError):
             if k + 1 == tries:
                 raise
+            between()
+            time.sleep(PAUSE * 2**k)
 
 
 def _index(f: pa.NativeFile, size: int) -> pa.Table:
@@ -246,7 +295,7 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self._uris(), int(self.options.get("range_bytes", RANGE)), int(self.options.get("tries", TRIES)))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options["path"], int(self.options.get("archive_bytes", ARCHIVE)))
+        return ArchiveWriter(self.options["path"], int(self.options.get("archive_bytes", ARCHIVE)), overwrite)
 
 
 def write_archives(media: DataFrame, path: str, archive_bytes: int = ARCHIVE) -> None:
@@ -261,9 +310,21 @@ def read_archives(spark: SparkSession, *paths: str, range_bytes: int = RANGE) ->
     return spark.read.format("keelson_archive").option("paths", json.dumps(list(paths))).option("range_bytes", range_bytes).load()
 
 
-@F.arrow_udf(T.BinaryType())
-def _encoded(text: pa.Array) -> pa.Array:
-    return pa.array([encode_png(payload_of(t.as_py())) for t in text], pa.binary())
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, media) of rows (doc_id, text), handed on by bytes: an Arrow column holds 2 GB at most."""
+    for batch in batches:
+        start, held, size = 0, [], 0
+        for i, t in enumerate(batch.column("text")):
+            held.append(encode_png(payload_of(t.as_py())))
+            size += len(held[-1])
+            if size >= BATCH or i + 1 == len(batch):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(held)), pa.array(held, pa.binary())], names=["doc_id", "media"])
+                start, held, size = i + 1, [], 0
+
+
+def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, media) of every row; an id that is no whole number becomes null."""
+    return docs.select(F.col(doc_id).try_cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encoded, "doc_id bigint, media binary")
 
 
 _FEATURES = T.StructType([T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))])
@@ -295,9 +356,10 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     Every whole text becomes an image in an archive in the shared folder, and
     all columns are computed from what is read back. Null texts are empty,
     whose payload is 576 bytes of 255. A member that stays damaged after all
-    tries has null columns and an error. Repeated rows and null ids are kept.
+    tries has null columns and an error. Repeated rows and null ids are kept;
+    an id that is no whole number becomes null.
     """
     path = path or shared_dir(docs.sparkSession, "media")
-    write_archives(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), _encoded(F.coalesce(F.col(text), F.lit(""))).alias("media")), path)
+    write_archives(encoded(docs, doc_id, text), path)
     read = read_archives(docs.sparkSession, path, range_bytes=range_bytes)
     return read.select("doc_id", _features("media").alias("f"), "error").select("doc_id", "f.*", "error")

@@ -32,7 +32,7 @@ def test_round_trip(spark, sf, edge, empty):
 
 def test_a_damaged_member_is_told_and_the_rest_read(spark, edge):
     path = shared_dir(spark, "damaged")
-    media.write_archives(edge.select("doc_id", media._encoded(F.coalesce("text", F.lit(""))).alias("media")).coalesce(1), path)
+    media.write_archives(media.encoded(edge).coalesce(1), path)
     whole = media.read_archives(spark, path, range_bytes=1000).orderBy("offset").collect()
     assert len(whole) == edge.count()
     fs, base = open_fs(path)
@@ -60,6 +60,37 @@ def test_members_fail_and_are_tried_again():
         media._again(lambda: (_ for _ in ()).throw(OSError("gone")), 2)
 
 
+def test_a_failing_handle_gives_way_to_another(tmp_path):
+    (tmp_path / "x").write_bytes(b"abcdef")
+    opened = []
+    with media.Archive(f"file://{tmp_path}/x") as f:
+
+        def read():
+            opened.append(f.handle)
+            if len(opened) == 1:
+                f.handle.close()
+            return f.handle.read(3)
+
+        assert media._again(read, 3, f.reopen) == b"abc"
+        assert len(opened) == 2 and opened[0] is not opened[1]
+
+
+def test_writes_add_up_and_ranges_grow_with_the_total(spark, edge, monkeypatch):
+    path = shared_dir(spark, "twice")
+    media.write_archives(media.encoded(edge.limit(3)), path)
+    media.write_archives(media.encoded(edge.limit(2)), path)
+    assert media.read_archives(spark, path).count() == 5
+    reader = media.ArchiveReader([path], 1, 2)
+    many = len(reader.partitions())
+    monkeypatch.setattr(media, "PLANNED", 10)
+    assert many > 300 and len(reader.partitions()) <= 20  # 366 bytes of members, in a few archives
+    ids = spark.createDataFrame([("a1", "x"), ("7", "y")], "doc_id string, text string")
+    assert sorted(str(r.doc_id) for r in media.media_columns(ids).collect()) == ["7", "None"]
+    docs = media.encoded(edge.limit(4)).write.format("keelson_archive").option("path", path)
+    docs.mode("overwrite").save()
+    assert media.read_archives(spark, path).count() == 4
+
+
 @pytest.fixture(scope="module")
 def pages(spark, sf):
     odd = spark.createDataFrame([(None, "http://a b", None), (900, None, ""), (900, None, "x" * 200_000), (901, "u", "WARC/1.1\r\n\r\n"), (901, "u", "é😀".encode("utf-16", "surrogatepass").decode("utf-16"))], "page_id bigint, url string, html string")
@@ -86,3 +117,25 @@ def test_a_lost_file_differs_throughout(spark, pages):
     fs.delete_file(f"{base}/{gone}")
     bad = warc.audit(index, a, b).where("differs")
     assert bad.where(F.col("file") != gone).isEmpty() and bad.count() == index.where(F.col("file") == gone).count()
+
+
+def test_missing_and_extra_records_differ(spark, pages):
+    a, b = shared_dir(spark, "a"), shared_dir(spark, "b")
+    index = warc.write_warc(pages.repartition(2), a, 20_000)
+    warc.replicate(index, a, b)
+    files = sorted(r.file for r in index.select("file").distinct().collect())
+    # of the other replica one file is missing in its index, one record of another, and the first lacks a file itself
+    last = index.where(F.col("file") == files[1]).agg(F.max("seq")).first()[0]
+    theirs = index.where((F.col("file") != files[0]) & ~((F.col("file") == files[1]) & (F.col("seq") == last)))
+    ours = index.where(F.col("file") != files[2])
+    got = warc.audit(ours, a, b, theirs)
+    key = lambda df: sorted((r.file, r.seq) for r in df.select("file", "seq").collect())
+    want = index.where(F.col("file").isin(files[0], files[2]) | ((F.col("file") == files[1]) & (F.col("seq") == last)))
+    assert key(got.where("differs")) == key(want)
+    assert key(got.where("intact is null")) == key(index.where(F.col("file") == files[2]))
+    assert got.count() == index.count()
+
+
+def test_urls_stay_whole():
+    fields, _ = warc.parse(warc.record(1, "http://a b\t?q=\u00e9", "x"))
+    assert fields["warc-target-uri"] == "http://a%20b%09?q=\u00e9"
