@@ -90,9 +90,10 @@ def least_hashed(rows: DataFrame, by: str, n: int, h: str = "h") -> DataFrame:
 
     Sorting for the n least would meet in one task with n rows from every task
     that reads; after this there are 3 n a group, however many tasks there are.
-    Groups are few by nature (languages, labels).
+    Groups are few by nature: labels, or languages of which a model holds a
+    column each. So their bounds are broadcast.
     """
     different = rows.groupBy(by).agg(F.approx_count_distinct(h).cast("double").alias("different"))
     share = F.least(3.0 * n / F.greatest("different", F.lit(1.0)), F.lit(1.0))
     bounds = different.select(F.col(by).alias("of"), F.when(share < 1, (share * 2.0**64 - 2.0**63).cast("bigint")).otherwise((1 << 63) - 1).alias("bound"))
-    return rows.join(bounds, F.col(by) == F.col("of")).where(F.col(h) <= F.col("bound")).drop("of", "bound")
+    return rows.join(F.broadcast(bounds), F.col(by) == F.col("of")).where(F.col(h) <= F.col("bound")).drop("of", "bound")

@@ -130,7 +130,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     # the hash of the sample's last row, so that texts needn't be sorted
     ranked = least_hashed(rows.select("lang", "h"), "lang", sample).distinct().withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample)
     last = ranked.groupBy("lang").agg(F.max("h").alias("last"))
-    some = rows.join(last, "lang").where("h <= last").select("lang", "text")
+    some = rows.join(F.broadcast(last), "lang")  # a row a language, as the model has a column a language.where("h <= last").select("lang", "text")
     counted = some.mapInArrow(_counts, "lang string, n int, gram bigint, c bigint").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     return model_of(counted.toArrow())
 
