@@ -52,9 +52,9 @@ def routes(replicas: DataFrame, unavailable: DataFrame, refreshing: DataFrame) -
     return c.select("slot", F.try_element_at("active", F.lit(1)).alias("head"), F.try_element_at("active", F.lit(-1)).alias("tail"), F.col("active").alias("read_replicas"), there.alias("readable"), (there & ~F.exists("chain", lambda r: r["state"] == "joining")).alias("writable"))
 
 
-def routed(keys: DataFrame, slots: DataFrame, broadcast_up_to: int = 1_000_000) -> DataFrame:
-    """Keys with the route of their slot; the routes are broadcast while they are few."""
-    return keys.join(F.broadcast(slots) if slots.count() <= broadcast_up_to else slots, "slot", "left")
+def routed(keys: DataFrame, slots: DataFrame) -> DataFrame:
+    """Keys with the route of their slot; Spark broadcasts the routes if they are small."""
+    return keys.join(slots, "slot", "left")
 
 
 def write_check(known: Column, active: Column, version_ok: Column, role: Column) -> Column:

@@ -7,6 +7,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Arrivals, or sequences, of a bucket: what a window by slot sorts at most. A slot may hold a third of the log.
+BUCKET = 65_536
+
+
+def _with_earlier(rows: DataFrame, by: list[str], fold, **totals: Column) -> DataFrame:
+    """``rows``, which have a bucket, with ``fold`` (F.sum or F.max) of the totals of their group's earlier buckets, as before_ and the name.
+
+    Buckets are summed up by a partial aggregate, so only one row a bucket
+    meets in a group's window, however many rows the group has.
+    """
+    per = rows.groupBy(*by, "bucket").agg(*[c.alias(n) for n, c in totals.items()])
+    earlier = W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    return rows.join(per.select(*by, "bucket", *[fold(n).over(earlier).alias(f"before_{n}") for n in totals]), [*by, "bucket"])
+
+
+def numbered(rows: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """Adds each row's number in its group by a whole-number ``order``: its place in its bucket, and the rows of earlier buckets."""
+    held = _with_earlier(rows.withColumn("bucket", F.floor(F.col(order) / BUCKET)), by, F.sum, n=F.count("*"))
+    place = F.row_number().over(W.partitionBy(*by, "bucket").orderBy(order))
+    return held.withColumn(name, (F.coalesce("before_n", F.lit(0)) + place).cast("bigint")).drop("bucket", "before_n")
+
+
 def _by_key() -> W:
     return W.partitionBy("slot", "key").orderBy("arrival")
 
@@ -21,14 +43,15 @@ def replay(ops: DataFrame) -> DataFrame:
 
     A delete ends an object's lifetime; the next put begins at version 1 with a
     new creation time. Suppressed deletes take no sequence. Versions need a
-    window by key and sequences one by slot: two shuffles, whatever the lengths.
+    window by key; sequences are numbered by buckets of arrivals, so no slot is
+    one task's.
     """
     log = effective(ops).where("applied").drop("applied")
     ended = F.coalesce(F.sum((F.col("kind") == "delete").cast("bigint")).over(_by_key().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     log = log.withColumn("lifetime", ended)
     in_life = W.partitionBy("slot", "key", "lifetime").orderBy("arrival")
     log = log.withColumn("version", F.row_number().over(in_life).cast("bigint")).withColumn("created_at", F.first("at").over(in_life))
-    return log.withColumn("sequence", F.row_number().over(W.partitionBy("slot").orderBy("arrival")).cast("bigint")).withColumnRenamed("at", "updated_at")
+    return numbered(log, ["slot"], "arrival", "sequence").withColumnRenamed("at", "updated_at")
 
 
 _OBJECT = ["kind", "value", "version", "created_at", "updated_at", "sequence"]
@@ -70,24 +93,29 @@ def overlay(base: DataFrame, over: DataFrame) -> DataFrame:
 def contiguous_prefix(entries: DataFrame, by: list[str], sequence: str = "sequence") -> DataFrame:
     """(by, prefix): the largest n such that 1 to n are all there; 0 if 1 is missing. Repeats count once."""
     distinct = entries.select(*by, sequence).distinct()
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(sequence))
-    return distinct.withColumn("rank", rank).groupBy(*by).agg(F.coalesce(F.max(F.when(F.col(sequence) == F.col("rank"), F.col(sequence))), F.lit(0)).cast("bigint").alias("prefix"))
+    return numbered(distinct, by, sequence, "rank").groupBy(*by).agg(F.coalesce(F.max(F.when(F.col(sequence) == F.col("rank"), F.col(sequence))), F.lit(0)).cast("bigint").alias("prefix"))
 
 
 def gaps(entries: DataFrame, by: list[str], sequence: str = "sequence") -> DataFrame:
     """(by, first_missing, last_missing): the runs of sequences that are missing before the highest."""
-    distinct = entries.select(*by, sequence).distinct()
-    before = F.coalesce(F.lag(sequence).over(W.partitionBy(*by).orderBy(sequence)), F.lit(0))
-    return distinct.withColumn("before", before).where(F.col(sequence) > F.col("before") + 1).select(*by, (F.col("before") + 1).cast("bigint").alias("first_missing"), (F.col(sequence) - 1).cast("bigint").alias("last_missing"))
+    distinct = entries.select(*by, sequence).distinct().withColumn("bucket", F.floor(F.col(sequence) / BUCKET))
+    held = _with_earlier(distinct, by, F.max, last=F.max(sequence))
+    before = F.coalesce(F.lag(sequence).over(W.partitionBy(*by, "bucket").orderBy(sequence)), "before_last", F.lit(0))
+    return held.withColumn("before", before).where(F.col(sequence) > F.col("before") + 1).select(*by, (F.col("before") + 1).cast("bigint").alias("first_missing"), (F.col(sequence) - 1).cast("bigint").alias("last_missing"))
 
 
-def high_water(entries: DataFrame, by: list[str], order: str, sequence: str = "sequence") -> DataFrame:
-    """Adds the running maximum of the sequence in order of arrival."""
-    return entries.withColumn("high_water", F.max(sequence).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)))
+def high_water(entries: DataFrame, by: list[str], order: str, sequence: str = "sequence", bucket: Column | None = None) -> DataFrame:
+    """Adds the running maximum of the sequence in order of arrival; ``bucket`` tells buckets of another order that is no whole number."""
+    held = _with_earlier(entries.withColumn("bucket", F.floor(F.col(order) / BUCKET) if bucket is None else bucket), by, F.max, top=F.max(sequence))
+    here = F.max(sequence).over(W.partitionBy(*by, "bucket").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return held.withColumn("high_water", F.greatest(here, "before_top")).drop("bucket", "before_top")
 
 
 def last_n(rows: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
-    """The last ``n`` rows of each group, oldest first by ``order``: bounded histories and rings."""
+    """The last ``n`` rows of each group, oldest first by ``order``: bounded histories and rings.
+
+    Spark limits each group before the shuffle, so a hot one sends ``n`` rows a task.
+    """
     return rows.withColumn("back", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(order)))).where(F.col("back") <= n).drop("back")
 
 
@@ -116,15 +144,14 @@ def replay_journal(journal: DataFrame, assignments: DataFrame, materialized: Dat
 def to_materialize(commits: DataFrame, materialized: DataFrame) -> DataFrame:
     """Commits with what becomes of them: ``skip`` what is in the state, ``apply`` what follows without a gap, else ``gap``."""
     rows = commits.join(materialized, "slot", "left").withColumn("materialized", F.coalesce("materialized", F.lit(0)))
-    new = F.sum((F.col("sequence") > F.col("materialized")).cast("bigint")).over(W.partitionBy("slot").orderBy("sequence"))
-    action = F.when(F.col("sequence") <= F.col("materialized"), "skip").when(F.col("sequence") == F.col("materialized") + new, "apply").otherwise("gap")
-    return rows.select("slot", "sequence", action.alias("action"))
+    old = rows.where("sequence <= materialized").select("slot", "sequence", F.lit("skip").alias("action"))
+    new = numbered(rows.where("sequence > materialized"), ["slot"], "sequence", "place")
+    return old.unionByName(new.select("slot", "sequence", F.when(F.col("sequence") == F.col("materialized") + F.col("place"), "apply").otherwise("gap").alias("action")))
 
 
 def round_robin(requests: DataFrame, by: str, order: str, n: Column) -> DataFrame:
     """Adds which of ``n`` read replicas each request starts at, in turn within a slot."""
-    turn = F.row_number().over(W.partitionBy(by).orderBy(order)) - 1
-    return requests.withColumn("replica", (turn % n).cast("bigint"))
+    return numbered(requests, [by], order, "turn").withColumn("replica", ((F.col("turn") - 1) % n).cast("bigint")).drop("turn")
 
 
 def fair_batches(pending: DataFrame, most_ops: int, most_bytes: int, size: str = "bytes", slots: int | None = None) -> DataFrame:
@@ -133,11 +160,12 @@ def fair_batches(pending: DataFrame, most_ops: int, most_bytes: int, size: str =
     An operation goes to the batch in which the running count and the running
     bytes place it, so caps hold up to the operation that crosses a byte cap.
     """
-    turn = pending.withColumn("turn", F.row_number().over(W.partitionBy("shard", "slot").orderBy("arrival")))
-    order = W.partitionBy("shard").orderBy("turn", "slot", "arrival")
-    at = F.row_number().over(order) - 1
-    before = F.coalesce(F.sum(size).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return turn.withColumn("batch", F.greatest(F.floor(at / most_ops), F.floor(before / most_bytes)).cast("bigint"))
+    turn = numbered(pending, ["shard", "slot"], "arrival", "turn").withColumn("bucket", F.floor(F.col("turn") / 1024))
+    held = _with_earlier(turn, ["shard"], F.sum, n=F.count("*"), bytes_=F.sum(size))
+    order = W.partitionBy("shard", "bucket").orderBy("turn", "slot", "arrival")
+    at = F.coalesce("before_n", F.lit(0)) + F.row_number().over(order) - 1
+    before = F.coalesce("before_bytes_", F.lit(0)) + F.coalesce(F.sum(size).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return held.withColumn("batch", F.greatest(F.floor(at / most_ops), F.floor(before / most_bytes)).cast("bigint")).drop("bucket", "before_n", "before_bytes_")
 
 
 def credits(slots: DataFrame, limit: int = 64, prepare_window: int = 32, commit_window: int = 16) -> DataFrame:

@@ -143,8 +143,8 @@ def identity(spark, sf):
 
 @query("AGG44_unavailable_slots", f"WITH {REPLICAS} SELECT node_id, count(DISTINCT slot) AS slots, min(slot) AS first, max(slot) AS last FROM replicas WHERE state <> 'active' GROUP BY node_id")
 def unavailable(spark, sf):
-    gone = S.replicas(spark, sf).where("state <> 'active'").groupBy("node_id").agg(F.sort_array(F.collect_set("slot")).alias("s"))
-    return gone.select("node_id", F.size("s").cast("bigint").alias("slots"), F.array_min("s").alias("first"), F.array_max("s").alias("last"))
+    gone = S.replicas(spark, sf).where("state <> 'active'").groupBy("node_id")
+    return gone.agg(F.count_distinct("slot").alias("slots"), F.min("slot").alias("first"), F.max("slot").alias("last"))
 
 
 @query("AGG34_replica_states", f"WITH {REPLICAS} SELECT node_id, count(*) FILTER (state = 'active') AS active, count(*) FILTER (state = 'joining') AS joining, count(*) FILTER (state = 'leaving') AS leaving FROM replicas GROUP BY node_id")
@@ -192,9 +192,9 @@ def last_progress(spark, sf):
     return last_n(S.table(spark, sf, "orders").select(F.col("o_custkey").alias("slot"), F.col("o_orderkey").alias("id")), ["slot"], "id", 8)
 
 
-@query("STM12_leases", "SELECT seq, lease, CAST(sum(CASE WHEN p IS NULL OR p <> holder THEN 1 ELSE 0 END) OVER (PARTITION BY lease ORDER BY seq) AS BIGINT) AS epoch FROM (SELECT o_orderkey AS seq, o_orderstatus AS lease, o_custkey % 3 AS holder, lag(o_custkey % 3) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS p FROM orders)")
+@query("STM12_leases", "SELECT seq, lease, CAST(sum(CASE WHEN p IS NULL OR p <> holder THEN 1 ELSE 0 END) OVER (PARTITION BY lease ORDER BY seq) AS BIGINT) AS epoch FROM (SELECT o_orderkey AS seq, o_custkey AS lease, o_orderkey % 3 AS holder, lag(o_orderkey % 3) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders)")
 def leases(spark, sf):
-    return C.leases(S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("lease"), (F.col("o_custkey") % 3).alias("holder"))).select("seq", "lease", "epoch")
+    return C.leases(S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("lease"), (F.col("o_orderkey") % 3).alias("holder"))).select("seq", "lease", "epoch")
 
 
 @query("FLT15_epoch_fence", "SELECT seq, CASE WHEN epoch = 0 THEN 'ignored' WHEN epoch < top THEN 'rejected' WHEN epoch = top THEN 'ignored' ELSE 'stored' END AS fence FROM (SELECT event_id AS seq, event_id % 13 AS epoch, coalesce(max(event_id % 13) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM events)")

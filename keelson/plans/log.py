@@ -156,8 +156,8 @@ def gaps(spark, sf):
 
 @query("WIN14_high_water", f"{LOG} SELECT slot, sequence, max(sequence) OVER (PARTITION BY slot ORDER BY (arrival * 7919) % 10007, arrival ROWS UNBOUNDED PRECEDING) AS high_water FROM log")
 def high_water(spark, sf):
-    shuffled = _log(spark, sf).withColumn("o", F.struct((F.col("arrival") * 7919) % 10007, "arrival"))
-    return L.high_water(shuffled, ["slot"], "o").select("slot", "sequence", "high_water")
+    shuffled = _log(spark, sf).withColumn("o", F.struct(((F.col("arrival") * 7919) % 10007).alias("col1"), "arrival"))
+    return L.high_water(shuffled, ["slot"], "o", bucket=F.floor(F.col("o.col1") / 256)).select("slot", "sequence", "high_water")
 
 
 @query("WIN12_retained_history", f"{LOG} SELECT slot, sequence, key FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY sequence DESC) AS r FROM log) WHERE r <= 64")
@@ -288,6 +288,10 @@ def composition(spark, sf):
     return _journal(spark, sf).groupBy("type").agg(F.count("*").alias("records"), F.countDistinct("slot").alias("slots"))
 
 
-@query("AGG39_sequence_window", f"{LOG}, {HOLES}, late AS (SELECT * FROM holes WHERE sequence % 50 = 0) SELECT slot, count(*) AS n, min(sequence) AS first, max(sequence) AS last FROM late GROUP BY slot")
+@query("AGG39_sequence_window", f"{LOG}, {HOLES}, {CUTS} SELECT slot, count(*) AS n, min(sequence) AS first, max(sequence) AS last, array_to_string(list(sequence ORDER BY sequence), ',') AS listed FROM holes JOIN cuts USING (slot) WHERE sequence > tail_sequence GROUP BY slot")
 def sequence_window(spark, sf):
-    return _log(spark, sf).where("arrival % 37 <> 20 and sequence % 50 = 0").groupBy("slot").agg(F.count("*").alias("n"), F.min("sequence").alias("first"), F.max("sequence").alias("last"))
+    """Count, ends and list of the sequences that the tail has yet to commit, of every slot."""
+    log = _log(spark, sf)
+    open_ = log.where("arrival % 37 <> 20").select("slot", "sequence").join(_cuts(log), "slot").where("sequence > tail_sequence")
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list("sequence")), lambda x: x.cast("string")), ",")
+    return open_.groupBy("slot").agg(F.count("*").alias("n"), F.min("sequence").alias("first"), F.max("sequence").alias("last"), listed.alias("listed"))

@@ -142,3 +142,28 @@ def test_stream_equals_batch(spark, tmp_path):
     finally:
         spark.conf.unset(conf)
     assert sorted(got) == [(0, n, "apply", n + 1) for n in range(1, 120)]
+
+
+def test_numbering_by_buckets_is_that_of_whole_windows(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    from keelson.operators import log as L
+
+    monkeypatch.setattr(L, "BUCKET", 7)
+    rng = random.Random(2)
+    rows = [(rng.choice([0, 0, 0, 1, 2]), x, rng.randrange(40)) for x in rng.sample(range(300), 120)]
+    df = spark.createDataFrame(rows, "slot bigint, sequence bigint, bytes bigint")
+    w = W.partitionBy("slot").orderBy("sequence")
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(L.numbered(df, ["slot"], "sequence", "n").select("slot", "sequence", "n"), df.select("slot", "sequence", F.row_number().over(w)))
+    assert same(L.high_water(df, ["slot"], "sequence", "bytes").select("slot", "sequence", "high_water"), df.select("slot", "sequence", F.max("bytes").over(w)))
+    lag = df.withColumn("b", F.coalesce(F.lag("sequence").over(w), F.lit(0))).where("sequence > b + 1").select("slot", F.col("b") + 1, F.col("sequence") - 1)
+    assert same(L.gaps(df, ["slot"]), lag)
+    ops = df.select("slot", F.col("sequence").alias("arrival"), (F.col("slot") % 2).alias("shard"), "bytes")
+    t = ops.withColumn("turn", F.row_number().over(W.partitionBy("slot").orderBy("arrival")))
+    o = W.partitionBy("shard").orderBy("turn", "slot", "arrival")
+    want = t.select("arrival", F.greatest(F.floor((F.row_number().over(o) - 1) / 5), F.floor(F.coalesce(F.sum("bytes").over(o.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) / 90)))
+    assert same(L.fair_batches(ops, 5, 90).select("arrival", "batch"), want)
