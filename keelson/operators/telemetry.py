@@ -248,7 +248,7 @@ def host_rates(probes: DataFrame) -> DataFrame:
     ticks = F.col("total") - F.col("p.total")
     busy = F.when(ticks > 0, 100.0 * (1 - (F.col("idle") - F.col("p.idle")) / ticks)).otherwise(0.0)
     moved = lambda f: F.aggregate(F.map_entries("network"), F.lit(0).cast("bigint"), lambda s, e: s + F.greatest(e["value"][f] - F.coalesce(F.try_element_at("p.network", e["key"])[f], F.lit(0)), F.lit(0)))
-    return p.select("node_id", "seq", "seconds", busy.alias("cpu_percent"), (moved("rx") / 1e6 / F.col("seconds")).alias("rx_mb_s"), (moved("tx") / 1e6 / F.col("seconds")).alias("tx_mb_s"))
+    return p.select("node_id", "seq", "seconds", busy.alias("cpu_percent"), (moved("rx") / F.col("seconds") / 1024 / 1024).alias("rx_mb_s"), (moved("tx") / F.col("seconds") / 1024 / 1024).alias("tx_mb_s"))
 
 
 def metric_rows(values: DataFrame) -> DataFrame:

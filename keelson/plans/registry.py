@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from keelson.plans import control, log, telemetry  # noqa: E402, F401
+from keelson.plans import control, log, parts, rundir, steps, telemetry  # noqa: E402, F401

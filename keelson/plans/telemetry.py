@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.functions.hashing import sampled, slot_of
 from keelson.operators import folds
 from keelson.operators import telemetry as M
 from keelson.operators.log import last_n
@@ -187,13 +186,6 @@ def trace_lookup(spark, sf):
     return last_n(close, ["slot"], "sequence", 32).select("slot", "sequence", "stage", "at")
 
 
-@query("FLT8_trace_sample")
-def trace_sample(spark, sf):
-    """One write in eight by the hash of its slot, sequence and chain version."""
-    t = _trace(spark, sf).select("slot", "sequence").distinct()
-    return t.where(sampled(F.col("slot"), F.col("sequence"), F.lit(1), 8))
-
-
 ARTIFACTS = """art AS (SELECT event_id AS artifact_id, ts AS "at", 'store-' || (user_id % 3) AS node_id, user_id % 16 AS slot, event_id % 7 + 1 AS sequence,
     CASE WHEN value > 60 THEN 'rpc: context deadline exceeded' WHEN value > 20 THEN 'context canceled' ELSE 'other' END AS error,
     CAST(floor(value / 40) AS BIGINT) % 3 AS next_sequence, user_id % 5 AS highest_committed, event_id % 4 AS slot_durable, CASE WHEN event_id % 2 = 0 THEN event_id % 6 END AS journal_durable,
@@ -264,7 +256,7 @@ net AS (SELECT *, CASE WHEN name = 'eth0' THEN seq * 900000 ELSE seq * 700000 %
 
 @query("WIN4_host_rates", f"""WITH {PROBES}, d AS (SELECT c.node, c.seq, (epoch_us(c."at") - epoch_us(p."at")) / 1e6 AS seconds, c.idle - p.idle AS idle, c.total - p.total AS total, c.i FROM probes c JOIN probes p ON p.node = c.node AND p.i = c.i - 1),
     moved AS (SELECT c.node, c.i, sum(greatest(c.rx - coalesce(p.rx, 0), 0)) AS rx, sum(greatest(c.tx - coalesce(p.tx, 0), 0)) AS tx FROM net c LEFT JOIN net p ON p.node = c.node AND p.i = c.i - 1 AND p.name = c.name GROUP BY c.node, c.i)
-    SELECT 'node-' || d.node AS node_id, d.seq, seconds, round(CASE WHEN total > 0 THEN 100.0 * (1 - idle / total) ELSE 0 END, 4) AS cpu_percent, round(rx / 1e6 / seconds, 4) AS rx_mb_s, round(tx / 1e6 / seconds, 4) AS tx_mb_s FROM d JOIN moved m ON m.node = d.node AND m.i = d.i WHERE seconds > 0""")
+    SELECT 'node-' || d.node AS node_id, d.seq, seconds, round(CASE WHEN total > 0 THEN 100.0 * (1 - idle / total) ELSE 0 END, 4) AS cpu_percent, round(rx / seconds / 1024 / 1024, 4) AS rx_mb_s, round(tx / seconds / 1024 / 1024, 4) AS tx_mb_s FROM d JOIN moved m ON m.node = d.node AND m.i = d.i WHERE seconds > 0""")
 def host_rates(spark, sf):
     r = M.host_rates(S.probes(spark, sf))
     return r.select("node_id", "seq", "seconds", *[F.round(c, 4).alias(c) for c in ("cpu_percent", "rx_mb_s", "tx_mb_s")])
@@ -294,10 +286,3 @@ def manifest_verify(spark, sf):
     listed = e.select("path", F.length("props").alias("size"), F.sha2("props", 256).alias("sha256"))
     found = e.where("event_id % 10 <> 3").select("path", (F.length("props") + (F.col("event_id") % 7 == 1).cast("int")).alias("size"), F.sha2(F.concat("props", F.when(F.col("event_id") % 5 == 2, "x").otherwise("")), 256).alias("sha256"))
     return M.verify_manifest(listed, found)
-
-
-@query("GEN2_key_pools")
-def key_pools(spark, sf):
-    """The first four keys of each of sixteen slots, by inverting the hash over a range of keys."""
-    keys = spark.range(2000).select(F.concat(F.lit("key-"), "id").alias("key"), "id").withColumn("slot", slot_of("key", S.SLOTS))
-    return last_n(keys.withColumn("back", -F.col("id")), ["slot"], "back", 4).select("slot", "key")
