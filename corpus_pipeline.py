@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the docs of the next. Null texts and empty tables
 pass through every stage as its operator defines; columns beyond those of
-``documents`` are carried along.
+``documents`` are carried along to the last stage, whose rows are the mix: how
+many words of each document left it takes, repeats counted.
 """
 
 from __future__ import annotations
