@@ -19,8 +19,8 @@ from keelson.llm.common import fold_of, least_hashed, text_slices
 
 #: Labelled documents of each language that the model is fitted on, those with the least hashes.
 SAMPLE = 3_000
-#: Characters of the longest n-grams.
-LONGEST = 5
+#: Characters of the longest n-grams; different words that a task counts before it hands them on.
+LONGEST, HELD = 5, 300_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -53,19 +53,26 @@ def gram_hashes(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, n, gram, c) of rows (lang, text); n is 0 for words, gram a hash."""
+    """Rows (lang, n, gram, c) of rows (lang, text); n is 0 for words, gram a hash. Words are added up first, HELD different ones at a time."""
+
+    def counted(found: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, words in found.items():
+            c = np.fromiter(words.values(), np.int64, len(words))
+            for n, h, of in [(0, word_hashes(list(words)), np.arange(len(words))), *gram_hashes(list(words))]:
+                keys, place = np.unique(h, return_inverse=True)
+                sums = np.bincount(place, weights=c[of], minlength=len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.view(np.int64)), pa.array(sums)], names=["lang", "n", "gram", "c"])
+
+    found: dict[str, Counter] = {}
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         for start, texts in text_slices(batch.column("text")):
-            found: dict[str, Counter] = {}
             for k, t in enumerate(texts):
                 found.setdefault(langs[start + k], Counter()).update(words_of(t))
-            for lang, words in found.items():
-                c = np.fromiter(words.values(), np.int64, len(words))
-                for n, h, of in [(0, word_hashes(list(words)), np.arange(len(words))), *gram_hashes(list(words))]:
-                    keys, place = np.unique(h, return_inverse=True)
-                    sums = np.bincount(place, weights=c[of], minlength=len(keys)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.view(np.int64)), pa.array(sums)], names=["lang", "n", "gram", "c"])
+            if sum(map(len, found.values())) >= HELD:
+                yield from counted(found)
+                found = {}
+    yield from counted(found)
 
 
 @dataclass
