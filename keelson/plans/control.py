@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keelson.operators import control as C
 from keelson.operators.log import last_n
-from keelson.plans.registry import query
+from keelson.plans.names import query
 from keelson.sources import tables as S
 
 FACTOR = 3

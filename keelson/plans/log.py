@@ -9,7 +9,7 @@ from keelson.functions.conditions import holds
 from keelson.functions.hashing import shard_of, slot_of
 from keelson.operators import folds
 from keelson.operators import log as L
-from keelson.plans.registry import query
+from keelson.plans.names import query
 from keelson.sources.tables import SLOTS, operations, table
 
 # CRC-32 of a key, bit by bit: SQL has no function for it

@@ -14,7 +14,7 @@ from keelson.plans import control as PC
 from keelson.plans import telemetry as PT
 from keelson.plans.control import ASSIGNED, BEATS, FACTOR, REPLICAS, ROUTES
 from keelson.plans.log import LOG, OPS, _log
-from keelson.plans.registry import query
+from keelson.plans.names import query
 from keelson.plans.telemetry import ARTIFACTS, COUNTERS, DIFF, PROBES, SAMPLES, TRACE
 from keelson.sources import tables as S
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keelson.plans.log import JOURNAL, LOG, _journal
-from keelson.plans.registry import query
+from keelson.plans.names import query
 from keelson.plans.telemetry import COUNTERS, PROGRESS, TRACE, _progress, _trace
 from keelson.sources import journal as J
 from keelson.sources import run_dir as R

@@ -10,7 +10,7 @@ from keelson.operators import log as L
 from keelson.operators import steps as P
 from keelson.plans.control import FACTOR, REPLICAS
 from keelson.plans.log import CUTS, HOLES, LOG, _cuts, _log
-from keelson.plans.registry import query
+from keelson.plans.names import query
 from keelson.sources import tables as S
 
 #: Replicas that a chain of these tables has when it is full.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keelson.operators import folds
 from keelson.operators import telemetry as M
 from keelson.operators.log import last_n
-from keelson.plans.registry import query
+from keelson.plans.names import query
 from keelson.sources import tables as S
 
 SAMPLES = """samples AS (SELECT event_id AS seq, ts AS "at", strftime(ts, '%Y-%m-%d') AS scenario, CASE WHEN event_type IN ('view', 'click') THEN 'get' ELSE 'put' END AS operation, value AS latency_ms, event_type <> 'error' AS successful FROM events)"""
