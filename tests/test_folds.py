@@ -122,7 +122,7 @@ def test_fnv_and_histogram_edges(spark):
 def test_counter_reset_and_new_interface(spark):
     net = lambda **k: {n: {"rx": v, "tx": 0} for n, v in k.items()}
     t0 = dt.datetime(2024, 1, 1)
-    rows = [("n", 0, t0, 0, 0, net(a=5_000_000)), ("n", 1, t0 + dt.timedelta(seconds=2), 50, 100, net(a=1_000_000, b=4_000_000)), ("n", 2, t0, 60, 110, net(b=9_000_000))]
+    rows = [("n", 0, t0, 0, 0, net(a=5 << 20)), ("n", 1, t0 + dt.timedelta(seconds=2), 50, 100, net(a=1 << 20, b=4 << 20)), ("n", 2, t0, 60, 110, net(b=9 << 20))]
     df = spark.createDataFrame(rows, "node_id string, seq long, at timestamp, idle long, total long, network map<string, struct<rx: long, tx: long>>")
     assert [(r["seq"], r["cpu_percent"], r["rx_mb_s"]) for r in M.host_rates(df).collect()] == [(1, 50.0, 2.0)]
 
