@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.conditions import first_reason
 from keelson.operators.control import lifecycle
+from keelson.operators.steps import completed_match
 
 
 def _held(messages: DataFrame, held: DataFrame, replicas: DataFrame, stores: list[str]) -> DataFrame:
@@ -180,3 +181,39 @@ def outbox_fold(commands: DataFrame, entries: DataFrame, acknowledged: DataFrame
     done = acknowledged.groupBy("id").agg(F.max("index").alias("done"))
     left = entries.where(F.col("index") > F.coalesce(boot, F.lit(-1))).join(moved, "slot", "left").join(done, "id", "left")
     return left.where("index >= coalesce(moved, -1) and index >= coalesce(done, -1)").select("id", "index", "slot")
+
+
+def progress_report(reports: DataFrame, pending: DataFrame, records: DataFrame) -> DataFrame:
+    """(report_id, outcome) of ready and removed reports (report_id, slot, kind, node_id, command_id, slot_version, state).
+
+    One that is not pending is a ``duplicate`` if the slot's completed
+    progress has it, else ``unexpected``. Empty command ids match all. The
+    replica must be joining (ready) or leaving (removed).
+    """
+    asked = reports.select(F.col("report_id").alias("asked_id"), "slot", "node_id", "kind", F.col("slot_version").alias("version"))
+    done = completed_match(records, asked).select(F.col("asked_id").alias("report_id"), "matches")
+    p = pending.select("slot", *[F.col(c).alias(f"p_{c}") for c in ("kind", "node_id", "command_id", "slot_version")])
+    waits = F.coalesce((F.col("p_kind") == F.col("kind")) & (F.col("p_node_id") == F.col("node_id")), F.lit(False))
+    other = (F.col("command_id") != "") & (F.col("p_command_id") != "") & (F.col("command_id") != F.col("p_command_id"))
+    outcome = first_reason(
+        (~waits & F.col("matches"), "duplicate"), (~waits, "unexpected"), (other, "wrong_command"), (F.col("slot_version") != F.col("p_slot_version"), "wrong_version"),
+        (F.col("state") != F.when(F.col("kind") == "ready", "joining").otherwise("leaving"), "wrong_state"), (F.lit(True), "accepted"),
+    )
+    return reports.join(p, "slot", "left").join(done, "report_id").select("report_id", outcome.alias("outcome"))
+
+
+def evaluated(commands: DataFrame, applied: DataFrame, runtimes: DataFrame) -> DataFrame:
+    """(command_id, outcome, version) of commands (command_id, runtime, id, expected, payload, valid), each tried on its runtime's state, which stays as it is.
+
+    An applied command's repetition gives the version it got then, with
+    another payload a conflict; a new one raises the version if it expects the
+    current one. ``applied`` has runtime, id, payload and version.
+    """
+    was = applied.select("runtime", "id", F.col("payload").alias("was"), F.col("version").alias("then"))
+    c = commands.join(runtimes.select("runtime", F.col("version").alias("now")), "runtime").join(was, ["runtime", "id"], "left")
+    outcome = first_reason(
+        ((F.col("id") == "") | ~F.col("valid"), "invalid"), (F.col("was") == F.col("payload"), "duplicate"), (F.col("was").isNotNull(), "conflict"),
+        (F.col("expected") != F.col("now"), "version_mismatch"), (F.lit(True), "applied"),
+    )
+    c = c.withColumn("outcome", outcome)
+    return c.select("command_id", "outcome", F.when(F.col("outcome") == "duplicate", F.col("then")).when(F.col("outcome") == "applied", F.col("now") + 1).alias("version"))

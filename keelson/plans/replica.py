@@ -259,3 +259,50 @@ def outbox_fold(spark, sf):
     entries = commands.where("kind = 'reconfigure'").select(F.concat(F.lit("e"), "index").alias("id"), "index", "slot")
     acknowledged = commands.where("kind = 'acknowledge_outbox'").select("index", F.concat(F.lit("e"), F.col("index") - 2).alias("id"))
     return R.outbox_fold(commands, entries, acknowledged)
+
+
+@query(
+    "CRD3_progress_reports",
+    """WITH r AS (SELECT o_orderkey AS report_id, o_custkey AS slot, ['ready', 'removed'][CAST(o_orderkey % 2 AS INTEGER) + 1] AS kind, 'n' || (o_orderkey % 3) AS node_id,
+    CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'c' || (o_orderkey % 2) END AS command_id, ['joining', 'leaving', 'active'][CAST(o_orderkey // 2 % 3 AS INTEGER) + 1] AS state FROM orders),
+    p AS (SELECT c_custkey AS slot, ['ready', 'removed'][CAST(c_custkey % 2 AS INTEGER) + 1] AS kind, 'n' || (c_custkey % 3) AS node_id, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'c' || (c_custkey // 3 % 2) END AS command_id,
+    CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 2 END AS slot_version FROM customer WHERE c_custkey % 6 <> 0),
+    rec AS (SELECT l_orderkey AS slot, 'n' || (l_suppkey % 3) AS node_id, CASE WHEN l_returnflag = 'R' THEN 'removed' ELSE 'ready' END AS kind, l_linenumber AS version FROM lineitem),
+    d AS (SELECT report_id, coalesce(bool_or(version = 2), false) OR count(version) = 1 AS done FROM r LEFT JOIN rec USING (slot, node_id, kind) GROUP BY report_id)
+    SELECT r.report_id, CASE WHEN p.slot IS NULL OR p.kind <> r.kind OR p.node_id <> r.node_id THEN CASE WHEN done THEN 'duplicate' ELSE 'unexpected' END
+    WHEN r.command_id <> '' AND p.command_id <> '' AND r.command_id <> p.command_id THEN 'wrong_command' WHEN p.slot_version <> 2 THEN 'wrong_version'
+    WHEN state <> CASE r.kind WHEN 'ready' THEN 'joining' ELSE 'leaving' END THEN 'wrong_state' ELSE 'accepted' END AS outcome FROM r JOIN d USING (report_id) LEFT JOIN p USING (slot)""",
+)
+def progress_reports(spark, sf):
+    k, c, s = F.col("o_orderkey"), F.col("c_custkey"), F.col("l_suppkey")
+    one_of = lambda values, i: F.array(*[F.lit(v) for v in values])[i.cast("int")]
+    kinds = ["ready", "removed"]
+    reports = S.table(spark, sf, "orders").select(
+        k.alias("report_id"), F.col("o_custkey").alias("slot"), one_of(kinds, k % 2).alias("kind"), _name(k % 3).alias("node_id"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("c"), (k % 2).cast("string"))).alias("command_id"),
+        F.lit(2).alias("slot_version"), one_of(["joining", "leaving", "active"], F.floor(k / 2) % 3).alias("state"),
+    )
+    pending = S.table(spark, sf, "customer").where("c_custkey % 6 <> 0").select(
+        c.alias("slot"), one_of(kinds, c % 2).alias("kind"), _name(c % 3).alias("node_id"), F.when(c % 7 == 0, "").otherwise(F.concat(F.lit("c"), (F.floor(c / 3) % 2).cast("string"))).alias("command_id"),
+        F.when(c % 4 == 0, 1).otherwise(2).alias("slot_version"),
+    )
+    records = S.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("slot"), _name(s % 3).alias("node_id"), F.when(F.col("l_returnflag") == "R", "removed").otherwise("ready").alias("kind"), F.col("l_linenumber").alias("version"))
+    return R.progress_report(reports, pending, records)
+
+
+@query(
+    "RUN9_what_if",
+    """WITH rt AS (SELECT c_custkey AS runtime, c_custkey % 4 AS now FROM customer), ap AS (SELECT c_custkey AS runtime, 'c' || (c_custkey % 9) AS id, 'F' AS payload, c_custkey % 3 AS version FROM customer),
+    cm AS (SELECT o_orderkey AS command_id, o_custkey AS runtime, CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE 'c' || (o_orderkey % 9) END AS id, o_orderkey % 4 AS expected, o_orderstatus AS payload, o_orderkey % 13 <> 0 AS valid FROM orders),
+    o AS (SELECT cm.*, now, ap.version AS version_then, CASE WHEN cm.id = '' OR NOT valid THEN 'invalid' WHEN ap.payload = cm.payload THEN 'duplicate' WHEN ap.payload IS NOT NULL THEN 'conflict' WHEN expected <> now THEN 'version_mismatch' ELSE 'applied' END AS outcome
+    FROM cm JOIN rt USING (runtime) LEFT JOIN ap ON ap.runtime = cm.runtime AND ap.id = cm.id)
+    SELECT command_id, outcome, CASE outcome WHEN 'duplicate' THEN version_then WHEN 'applied' THEN now + 1 END AS version FROM o""",
+)
+def what_if(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    name = lambda x: F.concat(F.lit("c"), (x % 9).cast("string"))
+    customer = S.table(spark, sf, "customer")
+    commands = S.table(spark, sf, "orders").select(
+        k.alias("command_id"), F.col("o_custkey").alias("runtime"), F.when(k % 17 == 0, "").otherwise(name(k)).alias("id"), (k % 4).alias("expected"), F.col("o_orderstatus").alias("payload"), (k % 13 != 0).alias("valid")
+    )
+    applied = customer.select(c.alias("runtime"), name(c).alias("id"), F.lit("F").alias("payload"), (c % 3).alias("version"))
+    return R.evaluated(commands, applied, customer.select(c.alias("runtime"), (c % 4).alias("version")))
